@@ -12,12 +12,14 @@ import re
 TITLE_LOOKALIKES = str.maketrans("oOeEaAcCpPxXyYkKMTHB", "оОеЕаАсСрРхХуУкКМТНВ")
 _DIGIT_IN_WORD = re.compile(r"[03](?=[^\W\d_])|(?<=[^\W\d_])[03]")
 
-_NUMBER = r"\d{1,4}"
+_NUMBER = r"\d{1,7}"
 #: Nothing but a page number, in the notations of the archive.
 PAGE = re.compile(
     rf"(?:[-–—]\s*{_NUMBER}\s*[-–—]|\[{_NUMBER}\]|\({_NUMBER}\)|(?:л|стр|с|лист|page|p|S)\.?\s*{_NUMBER}(?:\s*об\.?)?|{_NUMBER}\s*об\.?|{_NUMBER}\.?)", re.I
 )
 BARE = re.compile(r"\d+(?:[.,]\d+)?")
+#: A line of editorial marks only.
+MARK = re.compile(r"(?:\s*(?:\[(?:[^\[\]]|\[[^\[\]]*\])*\]|~~))+\s*")
 TOTAL = re.compile(r"(?:Итого|Всего|Total|Summe|Somme)\b.*", re.I)
 _SIDE = re.compile(rf"^\W*{_NUMBER}\s{{2,}}|\s{{2,}}{_NUMBER}\W*$")
 #: A running title whose wording gives it away.
@@ -87,8 +89,9 @@ def kinds(lines: list[str], page: int | None = None, running: frozenset[str] = f
         if lines[i].lstrip()[:1] in "ИВTSивt" and TOTAL.fullmatch(lines[i].strip()):
             out[i] = "sum"
             j = i - 1
-            while j >= 0 and BARE.fullmatch(lines[j].strip()):
-                out[j] = "sum"
+            while j >= 0 and (out[j] == "header" or not (text := lines[j].strip()) or BARE.fullmatch(text) or MARK.fullmatch(text)):
+                if out[j] == "" and BARE.fullmatch(lines[j].strip()):
+                    out[j] = "sum"
                 j -= 1
     # from the top and from the bottom: titles, then at most one page number
     for order in (full, full[::-1]):
@@ -96,7 +99,7 @@ def kinds(lines: list[str], page: int | None = None, running: frozenset[str] = f
             if out[i] == "header":
                 continue
             text = lines[i].strip()
-            if out[i] == "" and len(text) <= 14 and PAGE.fullmatch(text) and not (page is not None and text.isdigit() and abs(int(text) - page) > 4):
+            if out[i] == "" and len(text) <= 18 and PAGE.fullmatch(text) and not (page is not None and text.isdigit() and abs(int(text) - page) > 4):
                 out[i] = "page_number"
                 continue
             break

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.llm.sheets import BARE, TOTAL, kinds, page_number
+from papyrine.llm.sheets import BARE, MARK, TOTAL, kinds, page_number
 from papyrine.session import cut
 
 _END = re.compile(r"[.!?…][»”\"')\]]*$")
@@ -77,13 +77,15 @@ def _evidence(lines: list[str], kind: list[str], body: list[int]) -> tuple[str,
     if TOTAL.fullmatch(last):
         figures = []
         for i in reversed(body[:-1]):
-            if not BARE.fullmatch(lines[i].strip()):
+            if BARE.fullmatch(lines[i].strip()):
+                figures.append(lines[i].strip())
+            elif not MARK.fullmatch(lines[i]):
                 break
-            figures.append(lines[i].strip())
         total = last.split()[-1]
-        if figures and all(x.isdigit() for x in [total, *figures]):
-            return (FINISHED if sum(map(int, figures)) == int(total) else UNFINISHED), None, None
-        return (FINISHED if total[-1].isdigit() else UNFINISHED), None, None
+        if not total.isdigit():
+            return UNFINISHED, None, None
+        worked = str(sum(map(int, figures))) if figures and all(map(str.isdigit, figures)) else total
+        return (UNFINISHED if worked != total and worked.startswith(total) else FINISHED), None, None
     if BARE.fullmatch(last) and BARE.fullmatch(before):
         return UNFINISHED, None, None  # a column without its total
     if _OPEN.search(last) or last.count("~~") % 2:
