@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrine.llm import charform, packing, quality, tokenizer
+from papyrine.llm import charform, packing, quality, repetition, scan_noise, tokenizer, truncation
 from papyrine.sources.tables import table
 
 
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "transcripts_raw")
+
+
 def p1_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charform.addresses(table(spark, sf_dir, "catalog"))
 
@@ -18,6 +22,30 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charform.same_address_pairs(table(spark, sf_dir, "catalog"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(_readings(spark, sf_dir))
+
+
+def p2_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_by_source(_readings(spark, sf_dir))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repeating(_readings(spark, sf_dir))
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(_readings(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.noisy_lines(_readings(spark, sf_dir))
+
+
+def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.repaired(_readings(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.with_ids(table(spark, sf_dir, "documents"))
 
@@ -26,6 +54,10 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(packing.pack_documents(table(spark, sf_dir, "documents")))
+
+
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.typed_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
@@ -37,7 +69,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_addresses, p6_ids, p7_containers, p8_found, p8_statistics)
+        for f in (p1_found, p1_addresses, p2_found, p2_by_source, p3_found, p3_shares, p5_found, p5_text, p6_ids, p7_containers, p7_fill, p8_found, p8_statistics)
     }
 
 

@@ -78,10 +78,9 @@ def joins(lines: list[str], kind: list[str]) -> dict[int, int]:
     return out
 
 
-def words_of(lines: list[str], kind: list[str], broken: dict[int, int]) -> list[tuple[int, int | None, int, str]]:
+def words_of(lines: list[str], kind: list[str], broken: dict[int, int], noisy: bool = True) -> list[tuple[int, int | None, int, str]]:
     """(line, second line of a broken word or None, letters in the first line, word in lower case) of all words that are
-    letters only. Words beside a noise sign or a digit are pieces and left out, and so is the last word of the sheet,
-    which may be cut."""
+    letters of one script only; others show their misreading themselves. ``noisy``: whether the sheet may have any."""
     out = []
     second = set(broken.values())
     tails = {}
@@ -90,8 +89,8 @@ def words_of(lines: list[str], kind: list[str], broken: dict[int, int]) -> list[
             continue
         if not line:
             continue
-        if _DIRECT.search(line):
-            line = _TOKEN.sub(lambda m: m[0] if m[0].isalpha() else " " * len(m[0]), line)
+        if noisy and _DIRECT.search(line):
+            line = _TOKEN.sub(lambda m: m[0] if m[0].isalpha() and not _DIRECT.search(m[0]) else " " * len(m[0]), line)
         low = line.lower()
         found = _WORD.findall(low)
         if i in second and found and i in tails:
@@ -105,13 +104,15 @@ def words_of(lines: list[str], kind: list[str], broken: dict[int, int]) -> list[
     return out
 
 
-def direct_misreadings(lines: list[str], kind: list[str]) -> set[int]:
-    """Lines with a word whose misread character shows itself."""
-    out = set()
+def direct_misreadings(lines: list[str], kind: list[str], noisy: bool = True, stray: bool = True) -> set[int]:
+    """Lines with a word whose misread character shows itself. ``noisy`` and ``stray``: whether the sheet may have any."""
+    out: set[int] = set()
+    if not noisy and not stray:
+        return out
     for i, line in enumerate(lines):
         if kind[i] or not line:
             continue
-        if _DIRECT.search(line):
+        if noisy and _DIRECT.search(line):
             for m in _TOKEN.finditer(line):
                 t = m[0]
                 if t.isalpha():
@@ -123,7 +124,7 @@ def direct_misreadings(lines: list[str], kind: list[str]) -> set[int]:
                         out.add(i)
             if any(c in line for c in NOISE) and re.search(rf"[^\W\d_][{_NOISE}][{re.escape(BREAKS)}][ \t]*$|^[{_NOISE}][^\W\d_]", line):
                 out.add(i)
-        if i not in out and _LETTERS.search(line) and (m := _STRAY.search(line)):
+        if stray and i not in out and _LETTERS.search(line) and (m := _STRAY.search(line)):
             latin = len(re.findall(rf"[{_LAT}]", line))
             if latin <= 3 and len(_LETTERS.findall(line)) > 4 * latin:
                 out.add(i)
@@ -131,9 +132,11 @@ def direct_misreadings(lines: list[str], kind: list[str]) -> set[int]:
 
 
 def _sheet(text: str, page: str | None):
-    lines = _clean(text).split("\n")
+    """(lines, their kinds, broken words), and whether the sheet may have misread characters that show themselves."""
+    text = _clean(text)
+    lines = text.split("\n")
     kind = kinds(lines, page_number(page))
-    return lines, kind, joins(lines, kind)
+    return (lines, kind, joins(lines, kind)), _DIRECT.search(text) is not None, _STRAY.search(text) is not None and _LETTERS.search(text) is not None
 
 
 def word_counts(readings: DataFrame) -> DataFrame:
@@ -144,7 +147,8 @@ def word_counts(readings: DataFrame) -> DataFrame:
         for batch in batches:
             for text, page in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
                 if text:
-                    total.update([w for *_, w in words_of(*_sheet(text, page))[:-1]])
+                    sheet, noisy, _ = _sheet(text, page)
+                    total.update([w for *_, w in words_of(*sheet, noisy)[:-1]])  # the last word may be cut
             if len(total) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], ["word", "n"])
                 total.clear()
@@ -198,14 +202,14 @@ def _scan(readings: DataFrame, frequent: frozenset[str]) -> DataFrame:
             for rid, page, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not text:
                     continue
-                lines, kind, broken = _sheet(text, page)
+                (lines, kind, broken), noisy, stray = _sheet(text, page)
                 for i, k in enumerate(kind):
                     if k in ("header", "page_number"):
                         out.append((rid, i + 1, k, None, None, None))
                 out += [(rid, i + 1, "hyphen", None, None, None) for i in broken]
-                direct = direct_misreadings(lines, kind)
+                direct = direct_misreadings(lines, kind, noisy, stray)
                 out += [(rid, i + 1, "misread", None, None, None) for i in direct]
-                for a, b, head, w in words_of(lines, kind, broken):
+                for a, b, head, w in words_of(lines, kind, broken, noisy):
                     if w not in known and len(w) > 2 and not (a in direct and b is None):
                         out.append((rid, a + 1, None, w, None if b is None else b + 1, head))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
