@@ -52,10 +52,15 @@ _WORD_END = re.compile(r"([^\W\d_]+)[" + re.escape(BREAKS) + r"][ \t]*$")
 _WORD_START = re.compile(r"[^\W\d_]+")
 _CYR, _LAT = "Ѐ-ӿ", "A-Za-zÀ-ÖØ-öø-ÿ"
 _NOISE = re.escape(NOISE)
-_DIRECT = re.compile(rf"[{_LAT}][{_CYR}]|[{_CYR}][{_LAT}]|[^\W\d_]\d|\d[^\W\d_]|[^\W\d_][{_NOISE}](?:[^\W\d_]|[{re.escape(BREAKS)}][ \t]*$)|^[{_NOISE}][^\W\d_]", re.M)
-_CHUNK = re.compile(rf"[^\W_{_NOISE}]*(?:[^\W_]|(?<=[^\W_])[{_NOISE}](?=[^\W_]))*")
+_ANY = r"[^\W\d_]"
+# each begins with one set of rare characters, which the pattern engine looks for fast
+_DIRECT = re.compile(
+    rf"[{_LAT}0-9{_NOISE}](?:(?<=[{_LAT}])(?:(?<=[{_CYR}].)|(?=[{_CYR}]))|(?<=\d)(?:(?<={_ANY}.)|(?={_ANY}))"
+    rf"|(?<=[{_NOISE}])(?:(?<={_ANY}.)(?={_ANY}|[{re.escape(BREAKS)}][ \t]*$)|(?<=^.)(?={_ANY})))",
+    re.M,
+)
 _TOKEN = re.compile(rf"(?:[^\W_]|(?<=[^\W_])[{_NOISE}](?=[^\W_]))+")
-_STRAY = re.compile(r"(?<![^\W_'’-])[aceopxyAEOPCTXKMHB]{1,3}(?![^\W_'’-])")
+_STRAY = re.compile(r"[aceopxyAEOPCTXKMHB](?<![^\W_'’-].)[aceopxyAEOPCTXKMHB]{0,2}(?![^\W_'’-])")
 _LETTERS = re.compile(rf"[{_CYR}]")
 
 
@@ -104,6 +109,19 @@ def words_of(lines: list[str], kind: list[str], broken: dict[int, int], noisy: b
     return out
 
 
+def body_words(lines: list[str], kind: list[str], broken: dict[int, int], noisy: bool = True) -> list[str]:
+    """The words of ``words_of`` without their places, in order."""
+    parts = []
+    second = set(broken.values())
+    for i, line in enumerate(lines):
+        if line and (not kind[i] or i in second):
+            parts.append(line.rstrip(" \t")[:-1] if i in broken else line + "\n")
+    body = "".join(x.lstrip() if k and not parts[k - 1].endswith("\n") else x for k, x in enumerate(parts))
+    if noisy:
+        body = _TOKEN.sub(lambda m: m[0] if m[0].isalpha() and not _DIRECT.search(m[0]) else " ", body)
+    return _WORD.findall(body.lower())
+
+
 def direct_misreadings(lines: list[str], kind: list[str], noisy: bool = True, stray: bool = True) -> set[int]:
     """Lines with a word whose misread character shows itself. ``noisy`` and ``stray``: whether the sheet may have any."""
     out: set[int] = set()
@@ -148,7 +166,7 @@ def word_counts(readings: DataFrame) -> DataFrame:
             for text, page in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
                 if text:
                     sheet, noisy, _ = _sheet(text, page)
-                    total.update([w for *_, w in words_of(*sheet, noisy)[:-1]])  # the last word may be cut
+                    total.update(body_words(*sheet, noisy)[:-1])  # the last word may be cut
             if len(total) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], ["word", "n"])
                 total.clear()
@@ -209,6 +227,8 @@ def _scan(readings: DataFrame, frequent: frozenset[str]) -> DataFrame:
                 out += [(rid, i + 1, "hyphen", None, None, None) for i in broken]
                 direct = direct_misreadings(lines, kind, noisy, stray)
                 out += [(rid, i + 1, "misread", None, None, None) for i in direct]
+                if not any(len(w) > 2 for w in set(body_words(lines, kind, broken, noisy)).difference(known)):
+                    continue
                 for a, b, head, w in words_of(lines, kind, broken, noisy):
                     if w not in known and len(w) > 2 and not (a in direct and b is None):
                         out.append((rid, a + 1, None, w, None if b is None else b + 1, head))

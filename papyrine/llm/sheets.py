@@ -48,16 +48,16 @@ def is_capitals(text: str) -> bool:
     return len(letters) >= 4 and len(text) <= 60 and all(c.isupper() for c in letters) and text[-1] not in ".!?…,;:-‐‑¬=\xad"
 
 
-def is_title(lines: list[str], i: int, running: frozenset[str] = frozenset()) -> bool:
+def is_title(lines: list[str], i: int, running: frozenset[str] = frozenset(), hinted: bool = True) -> bool:
     """Whether line i is a running title: by its wording, as one of the file's ``running`` skeletons, or set in
     capitals on its own (a line of capitals beside another one is part of a longer text)."""
     line = lines[i]
-    if len(line) > 100 or not line.strip():
+    if len(line) > 100 or not line:
         return False
     if running and skeleton(line) in running:
         return True
-    spaced = line.count(" ") * 2 + 3 >= len(line.strip()) > 8 and _SPACED.fullmatch(line)
-    if not spaced and not line.isupper() and not _HINT.search(line):
+    spaced = line.count(" ") * 2 + 3 >= len(line) > 8 and _SPACED.fullmatch(line)
+    if not spaced and not line.isupper() and not (hinted and _HINT.search(line)):
         return False
     if spaced:
         return True
@@ -82,8 +82,9 @@ def kinds(lines: list[str], page: int | None = None, running: frozenset[str] = f
     n = len(lines)
     out = [""] * n
     full = [i for i in range(n) if lines[i].strip()]
+    hinted = any(_HINT.search(lines[i]) for i in full if len(lines[i]) <= 100)
     for i in full:
-        if is_title(lines, i, running):
+        if is_title(lines, i, running, hinted):
             out[i] = "header"
     for i in full:
         if lines[i].lstrip()[:1] in "ИВTSивt" and TOTAL.fullmatch(lines[i].strip()):
