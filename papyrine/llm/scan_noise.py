@@ -186,13 +186,14 @@ def corrections(counts: DataFrame) -> DataFrame:
 
     One confusion at a time, in one or two places of the word.
     """
-    spark = counts.sparkSession
     known = counts.filter("length(word) >= 3").withColumn("hash", anagram_hash("word"))
+    # a fixed list, of which each word takes the confusions whose letter it has
     rows = [(a, b, k * (ord(b) ** 5 - ord(a) ** 5), k) for a, b in CONFUSIONS for k in (1, 2)]
-    confusion = spark.createDataFrame(rows, "right_letter string, wrong_letter string, difference bigint, places int")
-    wrong = known.select(F.col("word").alias("wrong"), F.col("n").alias("n_wrong"), (F.col("hash")).alias("wrong_hash"))
-    # a fixed list beside each word that has the letter
-    wrong = wrong.join(F.broadcast(confusion), F.length("wrong") - F.length(F.replace("wrong", F.col("wrong_letter"), F.lit(""))) >= F.col("places"))
+    names = ("right_letter", "wrong_letter", "difference", "places")
+    listed = F.array(*(F.struct(*(F.lit(v).cast("bigint" if i == 2 else "string" if i < 2 else "int").alias(n) for i, (n, v) in enumerate(zip(names, r, strict=True)))) for r in rows))
+    has = lambda x: F.length("wrong") - F.length(F.replace("wrong", x["wrong_letter"], F.lit(""))) >= x["places"]
+    wrong = known.select(F.col("word").alias("wrong"), F.col("n").alias("n_wrong"), F.col("hash").alias("wrong_hash"))
+    wrong = wrong.select("*", F.explode(F.filter(listed, has)).alias("c")).select("wrong", "n_wrong", "wrong_hash", "c.*")
     right = known.filter(f"n >= {RATIO}").select(F.col("word").alias("right"), F.col("n").alias("n_right"), "hash")
     differs = F.zip_with(F.split("wrong", ""), F.split("right", ""), lambda x, y: F.when(x != y, F.concat(y, x)))
     found = (
