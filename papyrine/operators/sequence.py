@@ -27,22 +27,23 @@ def replace_by_label(old: DataFrame, new: DataFrame, label: str) -> DataFrame:
 def fold_runs(text: Column, least: int = 3) -> Column:
     """A text whose runs of ``least`` and more equal lines are one line and a marker; blank lines never fold.
 
-    One pass over the lines inside the row: no shuffle, whatever the length of a text or its runs. The running state is
-    the list of (line, how often).
+    Works inside the row, in time proportional to its lines: no shuffle, whatever the length of a text or its runs.
     """
-    line = "struct<line:string,n:int>"
-    lines = F.split(text, "\n", -1)
-
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["line"], F.lit("")) == x) & (F.trim(x) != "")
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(x.alias("line"), (last["n"] + 1).alias("n"))))
-        return F.when(same, grown).otherwise(F.concat(acc, F.array(F.struct(x.alias("line"), F.lit(1).alias("n")))))
-
-    runs = F.aggregate(lines, F.array().cast(f"array<{line}>"), add)
-    marker = lambda r: F.format_string("[повтор свёрнут: та же строка ещё %d раз]", r["n"] - 1)
-    shown = F.transform(runs, lambda r: F.when(r["n"] >= least, F.array(r["line"], marker(r))).otherwise(F.array_repeat(r["line"], r["n"])))
-    return F.array_join(F.flatten(shown), "\n")
+    bound = lambda c, f: F.transform(F.array(c), f)[0]  # noqa: E731  (evaluates ``c`` once)
+    at = lambda a, i: F.element_at(a, (i + 1).cast("int"))
+    marker = lambda n: F.format_string("[повтор свёрнут: та же строка ещё %d раз]", n)
+
+    def shown(lines: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(lines) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.trim(at(lines, i)) == "") | (at(lines, i) != F.when(i > 0, at(lines, i - 1))))
+
+        def run(s: Column, i: Column, k: Column) -> Column:
+            n = F.when(k < F.size(s) - 1, at(s, k + 1)).otherwise(F.size(lines)) - i
+            return F.when(n >= least, F.array(at(lines, i), marker(n - 1))).otherwise(F.array_repeat(at(lines, i), n.cast("int")))
+
+        return bound(starts, lambda s: F.flatten(F.transform(s, lambda i, k: run(s, i, k))))
+
+    return F.array_join(bound(F.split(text, "\n", -1), shown), "\n")
 
 
 def line_runs(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.session import cut
+
 
 def upper_median(column: str) -> Column:
     """The middle value, of an even number of values the upper one of the two."""
@@ -26,15 +28,16 @@ def ranks(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     placed = ordered.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
     # the low 33 bits of the increasing id are the row's place in its partition
     placed = placed.withColumn("_k", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = cut(placed)  # both uses below must see the same partitions
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return placed.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn(name, F.col("_before") + F.col("_k") + 1).drop("_p", "_m", "_k", "_before")
 
 
 def spearman(df: DataFrame, a: str, b: str, tie: str) -> DataFrame:
-    """(n, rho) with ties ranked by ``tie``: 1 - 6 sum d^2 / (n (n^2 - 1)). The windows hold (value, tie) only."""
-    wa, wb = Window.orderBy(a, tie), Window.orderBy(b, tie)
-    ranked = df.select(a, b, tie).withColumns({"_a": F.row_number().over(wa), "_b": F.row_number().over(wb)})
+    """(n, rho) with ties ranked by ``tie``: 1 - 6 sum d^2 / (n (n^2 - 1)); null rho for fewer than two rows. Rows with a
+    null measure are left out."""
+    ranked = ranks(ranks(df.select(a, b, tie).dropna(), a, tie, "_a"), b, tie, "_b")
     d = (F.col("_a") - F.col("_b")).cast("decimal(20,0)")
     return ranked.agg(F.count("*").alias("n"), F.sum((d * d).cast("decimal(38,0)")).cast("double").alias("d2")).select(
         "n", F.when(F.col("n") > 1, 1 - 6 * F.col("d2") / (F.col("n") * (F.col("n").cast("double") * F.col("n") - 1))).alias("rho")
