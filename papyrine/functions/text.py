@@ -50,7 +50,7 @@ def word_tokens(c: Column) -> Column:
 def index_terms(c: Column) -> Column:
     """Terms of the full-text index: markup removed, lower case, runs of three letters and more, ё as е."""
     c = F.regexp_replace(F.lower(c), r"\[[^\]]*\]|~~", " ")
-    c = F.regexp_replace(c, r"(?m)^(?:#|>).*$", " ")
+    c = F.regexp_replace(c, r"(?md)^[#>][^\n]*", " ")
     return F.transform(F.regexp_extract_all(c, F.lit(r"[а-яёa-z]{3,}"), F.lit(0)), lambda w: F.translate(w, "ё", "е"))
 
 

@@ -306,14 +306,16 @@ class DateDictionary:
 def with_dates(
     df: DataFrame, raw: str = "dates_raw", flag: str = "conjectural", source: str = "delo_dates", zone: str = "МСК", folder: str | None = None
 ) -> DataFrame:
-    """``df`` with starts, ends and conj (0 or 1; columns of these names are replaced). Every row stays."""
-    tagged = df.drop("starts", "ends", "conj").withColumns({"_source": F.lit(source), "_zone": F.lit(zone)})
-    entries = DateDictionary(df.sparkSession, folder).extend(
-        tagged.select(F.col("_source").alias("source"), F.col("_zone").alias("zone"), F.col(raw).alias("raw"))
-    )
-    entries = entries.filter((F.col("source") == source) & (F.col("zone") == zone)).select(F.col("raw").alias("_raw"), "starts", "ends", "marked")
-    conj = F.coalesce(F.col("marked"), F.lit(False)) | F.coalesce(F.col(flag), F.lit(False))
-    return tagged.join(entries, F.col(raw) == F.col("_raw"), "left").withColumn("conj", conj.cast("bigint")).drop("_raw", "_source", "_zone", "marked")
+    """``df`` with starts, ends and conj (0 or 1; columns of these names are replaced). Every row stays, and so does
+    every other column, whatever its name."""
+    strings = df.select(F.lit(source).alias("source"), F.lit(zone).alias("zone"), F.col(raw).alias("raw"))
+    entries = DateDictionary(df.sparkSession, folder).extend(strings)
+    entries = entries.filter((F.col("source") == source) & (F.col("zone") == zone))
+    mine = {"raw": "__date_raw", "starts": "__date_starts", "ends": "__date_ends", "marked": "__date_marked"}
+    joined = df.join(entries.select(*(F.col(a).alias(b) for a, b in mine.items())), df[raw] == F.col("__date_raw"), "left")
+    conj = F.coalesce(F.col("__date_marked"), F.lit(False)) | F.coalesce(F.col(flag), F.lit(False))
+    added = {"starts": F.col("__date_starts"), "ends": F.col("__date_ends"), "conj": conj.cast("bigint")}
+    return joined.withColumns(added).drop(*mine.values())
 
 
 def dated_cards(dates: DataFrame, folder: str | None = None) -> DataFrame:

@@ -7,6 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.session import cut
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the running total of ``value`` within each key, by ``order`` (which must tell all rows apart).
+
+    Rows are range-partitioned by (keys, order), so a key with a third of all rows is spread over many tasks; each task
+    adds up its own part, and the totals of the parts before (one row for each part of a key) are added after that.
+    """
+    ordered = df.withColumn("__v", value).repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id())
+    ordered = cut(ordered)  # both uses below must see the same parts
+    own = Window.partitionBy("__p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = ordered.groupBy("__p", *keys).agg(F.sum("__v").alias("__total"))
+    earlier = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("__before", F.coalesce(F.sum("__total").over(earlier), F.lit(0)))
+    totals = totals.select(F.col("__p").alias("__q"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__before")
+    same = F.col("__p") == F.col("__q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return (
+        ordered.withColumn("__own", F.sum("__v").over(own))
+        .join(totals, same)
+        .withColumn(name, F.col("__own") + F.col("__before"))
+        .drop("__v", "__p", "__own", "__q", "__before", *(f"__k{i}" for i in range(len(keys))))
+    )
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n") -> DataFrame:
+    """``df`` with each row's place in its key, from 1, by ``order`` (which must tell all rows apart)."""
+    return running(df, keys, order, F.lit(1).cast("bigint"), name)
+
 
 def latest(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """One row for each key: the first by ``order`` (give ties an order too)."""
@@ -66,16 +97,17 @@ def streak_stop(df: DataFrame, key: str, order: Sequence[str], hit: Column, k: i
 
 def round_robin(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """The first ``n`` rows when the groups take turns: the first row of each group, then the second, and so on."""
-    w = Window.partitionBy(group).orderBy(order)
-    turn = df.withColumn("turn", F.row_number().over(w))
-    return turn.filter(F.col("turn") <= n).orderBy("turn", group, order).limit(n)
+    return numbered(df, [group], [order], "turn").filter(F.col("turn") <= n).orderBy("turn", group, order).limit(n)
 
 
 def stratified(df: DataFrame, group: str, order: str, bands: Sequence[tuple[str, Column, int]]) -> DataFrame:
     """At most ``quota`` rows of each (name, predicate, quota) band, one of each group, a group in one band only."""
     out, rest = None, df
+    columns = [c for c in df.columns if c not in (group, order)]
     for name, predicate, quota in bands:
-        first = latest(rest.filter(predicate), [group], F.col(order)).orderBy(order).limit(quota).withColumn("band", F.lit(name))
+        # the first row of a group as a partial aggregation, not as a window
+        lead = F.min(F.struct(order, *columns)).alias("_x")
+        first = rest.filter(predicate).groupBy(group).agg(lead).select(group, "_x.*").orderBy(order).limit(quota).withColumn("band", F.lit(name))
         out = first if out is None else out.unionByName(first)
         rest = rest.join(first.select(group), group, "left_anti")
     return out
@@ -83,20 +115,17 @@ def stratified(df: DataFrame, group: str, order: str, bands: Sequence[tuple[str,
 
 def batches(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
     """Rows numbered into batches of ``size`` within each key, from 0."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    return numbered(df, keys, order, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
-def prefix_by_budget(df: DataFrame, key: Sequence[str], order: Sequence[str], size: Column, budget: int) -> DataFrame:
+def prefix_by_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: Column, budget: int) -> DataFrame:
     """The rows of each key up to the first at which the running total passes ``budget``; the first row always stays."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumns({"running": F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.row_number().over(w)}).filter((F.col("running") <= budget) | (F.col("_n") == 1)).drop("_n")
+    return running(df.withColumn("_size", size), keys, order, F.col("_size"), "running").filter((F.col("running") <= budget) | (F.col("running") == F.col("_size"))).drop("_size")
 
 
-def skip_first(df: DataFrame, key: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+def skip_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
     """Rows of each key after its first ``k``."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") > k).drop("_n")
+    return numbered(df, keys, order, "_n").filter(F.col("_n") > k).drop("_n")
 
 
 def half(c: Column) -> Column:

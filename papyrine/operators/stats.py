@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.session import cut
+from papyrine.operators.sequence import numbered
 
 
 def upper_median(column: str) -> Column:
@@ -19,19 +19,8 @@ def share(condition: Column) -> Column:
 
 
 def ranks(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
-    """``df`` with the position of each row by (value, tie) as ``name``, without one task that sorts all rows.
-
-    Rows are range-partitioned; each partition numbers its own rows after the counts of those before it (one small row
-    for each partition reaches the driver).
-    """
-    ordered = df.repartitionByRange(F.col(value).asc_nulls_last(), F.col(tie)).sortWithinPartitions(F.col(value).asc_nulls_last(), F.col(tie))
-    placed = ordered.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
-    # the low 33 bits of the increasing id are the row's place in its partition
-    placed = placed.withColumn("_k", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    placed = cut(placed)  # both uses below must see the same partitions
-    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn(name, F.col("_before") + F.col("_k") + 1).drop("_p", "_m", "_k", "_before")
+    """``df`` with the place of each row by (value, tie) as ``name``, without one task that sorts all rows."""
+    return numbered(df, [], [value, tie], name)
 
 
 def spearman(df: DataFrame, a: str, b: str, tie: str) -> DataFrame:
