@@ -570,9 +570,9 @@ def page_class_rule(spark, sf):
     return _d(spark, sf, "page_classes", "path", "class", "ink_cv").groupBy("class", raster.page_class(F.col("ink_cv")).alias("rule")).agg(F.count("*").alias("n"))
 
 
-@query("select event_id, case when wait > 7200 then 0 else wait end as "seconds" from (select event_id, ((12 * 3600 + 60 - (hour(ts) * 3600 + minute(ts) * 60 + second(ts))) % 86400 + 86400) % 86400 wait from events)")
+@query("select event_id, case when wait > 7200 then 0 else wait end as wait_s from (select event_id, ((12 * 3600 + 60 - (hour(ts) * 3600 + minute(ts) * 60 + second(ts))) % 86400 + 86400) % 86400 wait from events)")
 def reset_wait(spark, sf):
-    return table(spark, sf, "events", "event_id", "ts").select("event_id", parse.seconds_until(F.lit("resets 12pm"), F.col("ts")).cast("bigint").alias("seconds"))
+    return table(spark, sf, "events", "event_id", "ts").select("event_id", parse.seconds_until(F.lit("resets 12pm"), F.col("ts")).cast("bigint").alias("wait_s"))
 
 
 def queries() -> dict[str, Query]:
