@@ -94,7 +94,7 @@ def scan_path(opis: Column, delo: Column, page: Column) -> Column:
 def gloss(value: Column, domain: str) -> Column:
     """A comma-separated value with each term glossed, by its own form or lower case; unknown terms stay."""
     table = F.create_map(*(F.lit(x) for pair in GLOSSES[domain].items() for x in pair))
-    terms = F.filter(F.transform(F.split(value, ","), F.trim), lambda t: t != "")
+    terms = F.filter(F.transform(F.split(value, ","), lambda t: F.trim(t)), lambda t: t != "")
     return F.array_join(F.transform(terms, lambda t: F.coalesce(F.try_element_at(table, t), F.try_element_at(table, F.lower(t)), t)), ", ")
 
 

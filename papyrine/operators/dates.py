@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from papyrine.session import shared_base
 
 #: Raised when the parser changes, so that entries of an older one are not used.
-PARSER_VERSION = 1
+PARSER_VERSION = 2
 
 # Stems of month names in the languages of the archive, by number.
 MONTH_STEMS = [
@@ -99,7 +99,7 @@ _NAMED_RANGE = re.compile(rf"({_D})\s+({_M}){_DASH}({_D})\s+({_M})\s*,?\s*({_Y})
 _DOUBLE_NUMERIC = re.compile(rf"({_D})\.({_D}|{_R})\s*\(\s*({_D})\.({_D}|{_R})\s*\)\.?\s*({_Y})")
 _DOUBLE_NAMED = re.compile(rf"({_D})\s*(?:/\s*({_D})|\(\s*({_D})\s*\))\s*({_M})\s*,?\s*({_Y})")
 _DOUBLE_TWO = re.compile(rf"({_D})\s+({_M})\s*\(\s*({_D})\s+({_M})\s*\)\s*,?\s*({_Y})")
-_CLOCK = re.compile(r"[t,\s]*(?<!\d)(\d{1,2})(?::|\s*(?:ч\.?|час\.?|часов|uhr|h)\s*)(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*(?:мин\.?|min\.?|uhr)?\s*(am|pm|a\.m\.|p\.m\.)?\s*([+-]\d\d:?\d\d|[a-z]+/[a-z_/]+|[^\W\d_]+)?\s*$")
+_CLOCK = re.compile(r"[t,\s]*(?<!\d)(\d{1,2})(?::|\s*(?:ч\.?|час\.?|часов|uhr|h)\s*)(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*(?:мин\.?|min\.?|uhr)?\s*((?:am|pm)(?![^\W\d_])|a\.m\.|p\.m\.)?\s*([+-]\d\d:?\d\d|[a-z]+/[a-z_/]+|[^\W\d_]+)?\s*$")
 
 
 def _number(word: str) -> int:

@@ -40,7 +40,7 @@ def read_replies(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """(path, text) of a tree of text files, whole."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
@@ -54,7 +54,7 @@ def split_reply(text: Column) -> Column:
     """The parts of a reply set off by '=== NAME ===' lines, as an array of (name, body)."""
     head = r"(?m)^=== (.+?) ===\s*$"
     names = F.regexp_extract_all(text, F.lit(head), F.lit(1))
-    bodies = F.transform(F.slice(F.split(text, head, -1), F.lit(2), F.size(names)), F.trim)
+    bodies = F.transform(F.slice(F.split(text, head, -1), F.lit(2), F.size(names)), lambda b: F.trim(b))
     return F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("name"), F.trim(b, F.lit("\n ")).alias("body")))
 
 
