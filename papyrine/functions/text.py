@@ -56,8 +56,7 @@ def index_terms(c: Column) -> Column:
 
 def spaced_words(c: Column) -> Column:
     """How many pieces white space divides the text into."""
-    trimmed = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"(?U)\s+")))
+    return F.regexp_count(c, F.lit(r"(?U)\S+"))
 
 
 def uncertainty(c: Column, least: int = 30) -> Column:

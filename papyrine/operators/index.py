@@ -29,15 +29,13 @@ def split_stop_terms(documents: DataFrame, key: str = "doc_id", text: str = "tex
     return counted.filter(~stop).select("term", "df"), counted.filter(stop).select("term", "df")
 
 
-def postings(documents: DataFrame, key: str = "doc_id", text: str = "text", stop_share: float = STOP_SHARE) -> DataFrame:
-    """(shard, term, df, docs): the sorted documents of each kept term; the shard is the code point of its first letter.
-
-    A kept term is in at most ``stop_share`` of the documents, and lists of ids are what an index is; for corpora where
-    one list is too long for a row, ``posting_rows`` gives the same as rows.
-    """
+def postings(documents: DataFrame, key: str = "doc_id", text: str = "text", stop_share: float = STOP_SHARE, block: int = 100_000) -> DataFrame:
+    """(shard, term, df, block, docs): the sorted documents of each kept term; the shard is the code point of its first
+    letter. A list holds the documents of one block of ids, so no list grows with the corpus."""
     kept, _ = split_stop_terms(documents, key, text, stop_share)
-    rows = document_terms(documents, key, text).join(kept, "term")
-    return rows.groupBy("term", "df").agg(F.sort_array(F.collect_list(key)).alias("docs")).select(F.ascii("term").alias("shard"), "term", "df", "docs")
+    rows = document_terms(documents, key, text).join(kept, "term").withColumn("block", F.floor(F.col(key) / block))
+    lists = rows.groupBy("term", "df", "block").agg(F.sort_array(F.collect_list(key)).alias("docs"))
+    return lists.select(F.ascii("term").alias("shard"), "term", "df", "block", "docs")
 
 
 def posting_rows(documents: DataFrame, key: str = "doc_id", text: str = "text", stop_share: float = STOP_SHARE) -> DataFrame:

@@ -66,9 +66,9 @@ def index_stop_terms(spark, sf):
     return index.split_stop_terms(table(spark, sf, "documents", "doc_id", "text"))[1].withColumn("letters", F.length("term")).orderBy("letters", "term")
 
 
-@query(f"with {_DOC_TERMS} select term, k.df, string_agg(doc_id::varchar, ',' order by doc_id) docs from t join k using (term) group by term, k.df")
+@query(f"with {_DOC_TERMS} select term, k.df, doc_id // 100000 as block, string_agg(doc_id::varchar, ',' order by doc_id) docs from t join k using (term) group by term, k.df, doc_id // 100000")
 def index_postings(spark, sf):
-    return index.postings(table(spark, sf, "documents", "doc_id", "text")).select("term", "df", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"))
+    return index.postings(table(spark, sf, "documents", "doc_id", "text")).select("term", "df", "block", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"))
 
 
 @query(f"with {_DOC_TERMS} select unicode(term) shard, count(*) terms, sum(df)::bigint postings, max(df) longest from k group by 1")
