@@ -68,8 +68,9 @@ def _clean(text: str) -> str:
     return _FORMULA.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text) if "[" in text else text
 
 
-def joins(lines: list[str], kind: list[str]) -> dict[int, int]:
-    """For each line that ends in the first part of a broken word, the line with the second part."""
+def joins(lines: list[str], kind: list[str], strict: bool = True) -> dict[int, int]:
+    """For each line that ends in the first part of a broken word, the line with the second part. ``strict`` false: also
+    lines after which the body goes on with something else, so that the second part is missing."""
     out = {}
     n = len(lines)
     for i in range(n - 1):
@@ -78,7 +79,7 @@ def joins(lines: list[str], kind: list[str]) -> dict[int, int]:
         j = i + 1
         while j < n and (kind[j] in ("header", "page_number") or not lines[j].strip()):
             j += 1
-        if j < n and lines[j].lstrip()[:1].islower():
+        if j < n and (not strict or lines[j].lstrip()[:1].islower()):
             out[i] = j
     return out
 
@@ -225,7 +226,7 @@ def _scan(readings: DataFrame, frequent: frozenset[str]) -> DataFrame:
                 for i, k in enumerate(kind):
                     if k in ("header", "page_number"):
                         out.append((rid, i + 1, k, None, None, None))
-                out += [(rid, i + 1, "hyphen", None, None, None) for i in broken]
+                out += [(rid, i + 1, "hyphen", None, None, None) for i in joins(lines, kind, strict=False)]
                 direct = direct_misreadings(lines, kind, noisy, stray)
                 out += [(rid, i + 1, "misread", None, None, None) for i in direct]
                 if not any(len(w) > 2 for w in set(body_words(lines, kind, broken, noisy)).difference(known)):
