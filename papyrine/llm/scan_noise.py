@@ -61,6 +61,8 @@ _DIRECT = re.compile(
 )
 _TOKEN = re.compile(rf"(?:[^\W_]|(?<=[^\W_])[{_NOISE}](?=[^\W_]))+")
 _STRAY = re.compile(r"[aceopxyAEOPCTXKMHB](?<![^\W_'’-].)[aceopxyAEOPCTXKMHB]{0,2}(?![^\W_'’-])")
+_ROMAN = re.compile(r"[IVXLCDM]+")
+_MARK = re.compile(r"\[(?:[^\[\]]|\[[^\[\]]*\])*\]")
 _LETTERS = re.compile(rf"[{_CYR}]")
 
 
@@ -143,9 +145,11 @@ def direct_misreadings(lines: list[str], kind: list[str], noisy: bool = True, st
                         out.add(i)
             if any(c in line for c in NOISE) and re.search(rf"[^\W\d_][{_NOISE}][{re.escape(BREAKS)}][ \t]*$|^[{_NOISE}][^\W\d_]", line):
                 out.add(i)
-        if stray and i not in out and _LETTERS.search(line) and (m := _STRAY.search(line)):
-            latin = len(re.findall(rf"[{_LAT}]", line))
-            if latin <= 3 and len(_LETTERS.findall(line)) > 4 * latin:
+        if stray and i not in out and _STRAY.search(line):
+            plain = _MARK.sub(" ", line)
+            found = [m[0] for m in _STRAY.finditer(plain) if not _ROMAN.fullmatch(m[0])]
+            # a short word of look-alikes only, and no other Latin letter, among Cyrillic words
+            if found and len(_LETTERS.findall(plain)) > 8 and len(re.findall(rf"[{_LAT}]", plain)) == sum(map(len, found)):
                 out.add(i)
     return out
 
