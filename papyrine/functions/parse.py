@@ -120,3 +120,19 @@ def seconds_until(reply: Column, now: Column, longest: int = 7200) -> Column:
     now_s = F.hour(now) * 3600 + F.minute(now) * 60 + F.second(now)
     wait = F.pmod(at - now_s, F.lit(86400))
     return F.when(hour == "", 0).when(wait > longest, 0).otherwise(wait)
+
+
+def clean_title(name: Column) -> Column:
+    """A title for comparison: what quotes hold if there are any, without brackets, variant numbers and end signs."""
+    inner = F.regexp_extract(name, r'[«"]([^»"]+)[»"]', 1)
+    text = F.when(inner != "", inner).otherwise(F.split(name, _STOPS, 2)[0])
+    text = F.regexp_replace(F.regexp_replace(text, r"\[[^\]]*\]|\([^)]*\)", " "), r",?\s*\d-й вариант", "")
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(" .,;:"))
+
+
+def order_keys(delo: Column) -> dict[str, Column]:
+    """Two orders of file numbers: as text padded to five signs (a suffix counts as a sign), and by number, then text."""
+    return {
+        "as_text": F.when(F.length(delo) < 5, F.lpad(delo, 5, "0")).otherwise(delo),
+        "as_number": F.coalesce(F.regexp_replace(delo, r"\D", "").try_cast("int"), F.lit(0)),
+    }

@@ -120,3 +120,18 @@ def strip_blocks(c: Column) -> Column:
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&laquo;", "«"), ("&raquo;", "»"), ("&mdash;", "—"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(sign))
     return squeeze(c)
+
+
+def contradictions(c: Column, pattern: str, want: Column) -> Column:
+    """What a pattern's first group finds in a text besides the value it should be, each once."""
+    return F.array_except(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.array(want.cast("string")))
+
+
+def states(c: Column, claim: Column) -> Column:
+    """Whether a text states a claim, without regard to case and white space."""
+    return F.contains(F.lower(squeeze(c)), F.lower(squeeze(claim)))
+
+
+def balanced(c: Column, opening: str = "{", closing: str = "}") -> Column:
+    """Whether a text opens and closes equally often."""
+    return F.length(F.replace(c, F.lit(opening), F.lit(""))) == F.length(F.replace(c, F.lit(closing), F.lit("")))

@@ -575,6 +575,38 @@ def reset_wait(spark, sf):
     return table(spark, sf, "events", "event_id", "ts").select("event_id", parse.seconds_until(F.lit("resets 12pm"), F.col("ts")).cast("bigint").alias("wait_s"))
 
 
+@query(f"""with x as (select distinct portal_id, nullif(replace(lower(regexp_extract(name, '[«"]([^»"]{{5,}})[»"]', 1)), 'ё', 'е'), '') work, try_cast(regexp_extract(name, '(\\d)-й вариант', 1) as int) variant from catalog),
+h as (select distinct portal_id, lower(trim(regexp_split_to_array(dates_raw, '\\s*-\\s*')[1], ' ')) h from delo_dates where dates_raw is not null),
+y as (select portal_id, regexp_extract(h, '(\\d{{1,2}})\\.(\\d{{1,2}})\\.(1[89]\\d\\d)', ['d', 'm', 'y']) a, try_cast(regexp_extract(h, '(1[89]\\d\\d)', 1) as int) y, case {_STEMS} else 0 end m from h),
+d as (select portal_id, case when a.y <> '' then [a.y::int, try_cast(a.m as int), try_cast(a.d as int)] when y is not null then [y, m, 0] end ymd, case when a.y <> '' then 3 when y is not null and m > 0 then 2 when y is not null then 1 end p from y),
+o as (select work, portal_id, variant, ymd, p, lag(ymd) over w before, lag(p) over w bp from x join d using (portal_id) where work is not null and variant is not null and ymd is not null window w as (partition by work order by variant, portal_id))
+select work, portal_id, variant, ymd[1:least(p, bp)] < before[1:least(p, bp)] earlier from o where before is not null""")
+def variant_order(spark, sf):
+    """Each variant of a work beside the one before it: is it dated earlier, as far as both dates are known?"""
+    from pyspark.sql import Window
+
+    ymd, precision = parse.partial_date(F.col("dates_raw"))
+    works = _d(spark, sf, "catalog", "portal_id", "name").select("portal_id", parse.quoted_work(F.col("name")).alias("work"), parse.variant_number(F.col("name")).alias("variant")).distinct()
+    dated = table(spark, sf, "delo_dates", "portal_id", "dates_raw").select("portal_id", ymd.alias("ymd"), precision.alias("p")).distinct()
+    both = works.join(dated, "portal_id").filter("work is not null and variant is not null and ymd is not null")
+    w = Window.partitionBy("work").orderBy("variant", "portal_id")
+    both = both.withColumns({"before": F.lag("ymd").over(w), "bp": F.lag("p").over(w)}).filter("before is not null")
+    earlier = parse.earlier_at_common_precision(F.col("ymd"), F.col("p"), F.col("before"), F.col("bp"))
+    return both.select("work", "portal_id", "variant", earlier.alias("earlier"))
+
+
+@query("select distinct opis_code, delo, case when length(delo) < 5 then lpad(delo, 5, '0') else delo end as_text, coalesce(try_cast(regexp_replace(delo, '[^0-9]', '', 'g') as int), 0) as_number from transcripts_raw where delo is not null")
+def catalog_order(spark, sf):
+    d = _d(spark, sf, "transcripts_raw", "opis_code", "delo").filter("delo is not null")
+    return d.withColumns(parse.order_keys(F.col("delo"))).orderBy("opis_code", "as_number", "delo")
+
+
+@query("""select distinct portal_id, length(trim(regexp_replace(regexp_replace(regexp_replace(case when regexp_extract(name, '[«"]([^»"]+)[»"]', 1) <> '' then regexp_extract(name, '[«"]([^»"]+)[»"]', 1) else regexp_split_to_array(name, 'Вид материала:|Способ воспроизведения:|Языки:|Язык:|Крайние даты:')[1] end, '\\[[^\\]]*\\]|\\([^)]*\\)', ' ', 'g'), ',?\\s*\\d-й вариант', '', 'g'), '\\s+', ' ', 'g'), ' .,;:')) letters from catalog where name is not null""")
+def clean_titles(spark, sf):
+    d = table(spark, sf, "catalog", "portal_id", "name").filter("name is not null")
+    return d.select("portal_id", F.length(parse.clean_title(F.col("name"))).alias("letters")).distinct()
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -63,3 +63,12 @@ def test_partial_dates(spark):
 def test_reset_time(spark):
     df = spark.createDataFrame([("resets 1am", dt.datetime(2024, 1, 1, 0, 34)), ("resets 11am", dt.datetime(2024, 1, 1, 0, 34)), ("no", dt.datetime(2024, 1, 1))], "r string, t timestamp_ntz")
     assert [x[0] for x in df.select(parse.seconds_until(F.col("r"), F.col("t"))).collect()] == [1620, 0, 0]
+
+
+def test_claims_and_titles(spark):
+    df = spark.createDataFrame([("В фонде 12 дел. Всего 12 дел, а не 15 дел {x}", 12)], "t string, n int")
+    r = df.select(text.contradictions(F.col("t"), r"(\d+) дел", F.col("n")), text.states(F.col("t"), F.lit("всего  12 ДЕЛ")), text.balanced(F.col("t"))).first()
+    assert tuple(r) == (["15"], True, True)
+    assert [one(spark, v, parse.clean_title) for v in ('Письмо "Шар [черн.]", 2-й вариант', "Отчёт (копия), 3-й вариант.")] == ["Шар", "Отчёт"]
+    keys = [tuple(spark.createDataFrame([(v,)], "v string").select(*parse.order_keys(F.col("v")).values()).first()) for v in ("2", "145", "145а", "146")]
+    assert sorted(range(4), key=lambda i: keys[i][0]) == [0, 1, 3, 2] and sorted(range(4), key=lambda i: keys[i][1]) == [0, 1, 2, 3]
