@@ -313,7 +313,17 @@ def repair(text: str | None, page: str | None, fixes: dict[str, str] | None) ->
             current += " "
     if current.strip():
         paragraphs.append(current)
-    return "\n".join(_TOKEN.sub(lambda m: repair_word(m[0], fixes), p.strip()) for p in paragraphs)
+    joined = "\n".join(p.strip() for p in paragraphs)
+    if not fixes and not _DIRECT.search(joined):
+        return joined
+
+    def mend(m: re.Match) -> str:
+        word = m[0]
+        if word.isalpha():
+            return repair_word(word, fixes) if word.lower() in fixes or _DIRECT.search(word) else word
+        return word if word.isdigit() else repair_word(word, fixes)
+
+    return _TOKEN.sub(mend, joined)
 
 
 def repaired(readings: DataFrame) -> DataFrame:
