@@ -1,4 +1,5 @@
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ def test_rewrite_shards_and_stream(spark, tmp_path, rows):
     assert rows(spark.read.parquet(str(tmp_path / "s")).select("v")) == [("a",), ("z",)]
     assert files.as_json_document(make([(1, 'q"', None)]), ["k", "v", "at"]).first()[0] in ('[1,"q\\"",null]', '["1","q\\"",null]')
     source, table = str(tmp_path / "in"), str(tmp_path / "table")
-    spark.conf.set("spark.checkpoint.dir", "file://" + str(tmp_path / "shared")) if spark.conf.get("spark.checkpoint.dir", None) is None else None
+    name = f"test-{uuid.uuid4().hex}"  # progress is kept by name in the shared folder, which outlives a session
     for batch in ([(1, "a", 1)], [(1, "b", 2), (3, "c", 1)]):
         make(batch).write.mode("append").parquet(source)
-        sheets.ingest(spark, source, "k int, v string, at int", table, ["k"], "at", "test").awaitTermination()
+        sheets.ingest(spark, source, "k int, v string, at int", table, ["k"], "at", name).awaitTermination()
     assert rows(spark.read.parquet(table)) == [(1, "b", 2), (3, "c", 1)]
