@@ -489,10 +489,19 @@ def name_fields(spark, sf):
 
 @query("""select distinct portal_id, dates_raw, list_min(list_transform(regexp_extract_all(dates_raw, '\\b1[89]\\d\\d\\b'), lambda y: y::int)) year_from, list_max(list_transform(regexp_extract_all(dates_raw, '\\b1[89]\\d\\d\\b'), lambda y: y::int)) year_to, contains(dates_raw, '[') bracketed from delo_dates where regexp_matches(dates_raw, '^[\\[0-9. ?\\]–—-]*$')""")
 def year_range(spark, sf):
+    """Only the texts of digits and signs, to which its SQL is limited; ``year_range_all`` reads every text."""
     d = table(spark, sf, "delo_dates", "portal_id", "dates_raw").filter(F.col("dates_raw").rlike(r"^[\[0-9. ?\]–—-]*$"))
     return d.withColumns(parse.year_range(F.col("dates_raw"))).distinct()
 
 
+# DuckDB's \b knows ASCII letters only: signs become two spaces, of which each year takes one at either side.
+@query("""with x as (select distinct portal_id, dates_raw, list_transform(regexp_extract_all(regexp_replace(dates_raw, '[^\\p{L}\\p{M}\\p{N}_]', '  ', 'g'), '(?:^| )(1[89][0-9]{2})(?: |$)', 1), lambda y: y::int) ys from delo_dates where dates_raw is not null)
+select portal_id, dates_raw, list_min(ys) year_from, list_max(ys) year_to, contains(dates_raw, '[') bracketed from x""")
+def year_range_all(spark, sf):
+    d = table(spark, sf, "delo_dates", "portal_id", "dates_raw").filter("dates_raw is not null")
+    return d.withColumns(parse.year_range(F.col("dates_raw"))).distinct()
+
+
 _STEMS = " ".join(f"when contains(h, '{stem}') then {n}" for stem, n in parse.MONTHS)
 
 
