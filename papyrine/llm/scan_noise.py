@@ -10,6 +10,8 @@ differ by b^5 - a^5 in it, whatever the place. So rare words are joined with fre
 the hash less each of a fixed list of confusions; the letters are compared after the join, and the correction of each
 word is the best ranked by frequency. Words that are neither frequent nor part of a correction can be told apart in
 the second pass by a set of frequent words, which holds at most 1 / ``FREQUENT`` words whatever the corpus.
+A word with one sign for a letter is joined in the same way, on the hash less (sign^5 - letter^5) for every letter of
+its script; since the sign is no letter for certain, its correction need only be a word that is known.
 
 Results at the edges: null and empty texts have no lines; texts are read whole; rows delivered twice count once; a
 word broken over a line end belongs to the line in which its misread letter stands.
@@ -59,6 +61,10 @@ _DIRECT = re.compile(
     rf"|(?<=[{_NOISE}])(?:(?<={_ANY}.)(?={_ANY}|[{re.escape(BREAKS)}][ \t]*$)|(?<=^.)(?={_ANY})))",
     re.M,
 )
+# a word with one sign for a letter, in lower case
+_SIGNED = re.compile(rf"{_ANY}+[{_NOISE}]{_ANY}+")
+# letters that a sign may stand for, by script
+_LETTERS_OF = {_CYR: "абвгдеёжзийклмнопрстуфхцчшщъыьэюяіѣѳѵ", _LAT: "abcdefghijklmnopqrstuvwxyzàâäæçèéêëîïôöœùûüß"}
 _TOKEN = re.compile(rf"(?:[^\W_]|(?<=[^\W_])[{_NOISE}](?=[^\W_]))+")
 _STRAY = re.compile(r"[aceopxyAEOPCTXKMHB](?<![^\W_'’-].)[aceopxyAEOPCTXKMHB]{0,2}(?![^\W_'’-])")
 _ROMAN = re.compile(r"[IVXLCDM]+")
@@ -112,8 +118,8 @@ def words_of(lines: list[str], kind: list[str], broken: dict[int, int], noisy: b
     return out
 
 
-def body_words(lines: list[str], kind: list[str], broken: dict[int, int], noisy: bool = True) -> list[str]:
-    """The words of ``words_of`` without their places, in order."""
+def body_words(lines: list[str], kind: list[str], broken: dict[int, int], noisy: bool = True, signed: list[str] | None = None) -> list[str]:
+    """The words of ``words_of`` without their places, in order. ``signed`` takes the words with one sign for a letter."""
     parts = []
     second = set(broken.values())
     for i, line in enumerate(lines):
@@ -121,7 +127,16 @@ def body_words(lines: list[str], kind: list[str], broken: dict[int, int], noisy:
             parts.append(line.rstrip(" \t")[:-1] if i in broken else line + "\n")
     body = "".join(x.lstrip() if k and not parts[k - 1].endswith("\n") else x for k, x in enumerate(parts))
     if noisy:
-        body = _TOKEN.sub(lambda m: m[0] if m[0].isalpha() and not _DIRECT.search(m[0]) else " ", body)
+
+        def keep(m: re.Match) -> str:
+            t = m[0]
+            if t.isalpha():
+                return t if not _DIRECT.search(t) else " "
+            if signed is not None and _SIGNED.fullmatch(t):
+                signed.append(t.lower())
+            return " "
+
+        body = _TOKEN.sub(keep, body)
     return _WORD.findall(body.lower())
 
 
@@ -163,7 +178,8 @@ def _sheet(text: str, page: str | None):
 
 
 def word_counts(readings: DataFrame) -> DataFrame:
-    """(word, n) over all sheets. Each task adds its words up before anything is shuffled."""
+    """(word, n) over all sheets, words with one sign for a letter among them. Each task adds its words up before
+    anything is shuffled."""
 
     def count(batches):
         total: Counter[str] = Counter()
@@ -171,7 +187,9 @@ def word_counts(readings: DataFrame) -> DataFrame:
             for text, page in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
                 if text:
                     sheet, noisy, _ = _sheet(text, page)
-                    total.update(body_words(*sheet, noisy)[:-1])  # the last word may be cut
+                    signed: list[str] = []
+                    total.update(body_words(*sheet, noisy, signed)[:-1])  # the last word may be cut
+                    total.update(signed)
             if len(total) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], ["word", "n"])
                 total.clear()
@@ -189,9 +207,35 @@ def anagram_hash(column: str) -> F.Column:
 def corrections(counts: DataFrame) -> DataFrame:
     """(wrong, right, at): each misread word with the best ranked word it stands for, and the place of the first difference.
 
-    One confusion at a time, in one or two places of the word.
+    One confusion at a time, in one or two places of the word; or one sign for any letter.
     """
-    known = counts.filter("length(word) >= 3").withColumn("hash", anagram_hash("word"))
+    hashed = counts.filter("length(word) >= 3").withColumn("hash", anagram_hash("word"))
+    is_signed = F.col("word").rlike(f"[{_NOISE}]")
+    known = hashed.filter(~is_signed)
+    letters = _letter_corrections(known)
+    # what is itself misread mends nothing
+    sound = known.join(letters.select(F.col("wrong").alias("word")), "word", "left_anti")
+    return letters.unionByName(_sign_corrections(sound, counts.filter(is_signed)))
+
+
+def _sign_corrections(known: DataFrame, signed: DataFrame) -> DataFrame:
+    """(wrong, right, at) of words with one sign for a letter: the most frequent word that has a letter in its place, but
+    the letter that the sign looks like first."""
+    power = lambda c: F.lit(ord(c) ** 5)
+    signs = F.create_map(*(F.lit(x) if isinstance(x, str) else x for c in NOISE for x in (c, power(c))))
+    listed = {k: F.array(*(F.struct(F.lit(c).alias("letter"), power(c).alias("power")) for c in v)) for k, v in _LETTERS_OF.items()}
+    like = F.create_map(*(F.lit(x) for c in NOISE if c in IN_LATIN for x in (c, IN_LATIN[c])))
+    wrong = signed.select(F.col("word").alias("wrong"), F.regexp_extract("word", f"[{_NOISE}]", 0).alias("sign"), (anagram_hash("word")).alias("wrong_hash"))
+    wrong = wrong.select("*", F.explode(F.when(F.col("wrong").rlike(f"[{_CYR}]"), listed[_CYR]).otherwise(listed[_LAT])).alias("c"))
+    wrong = wrong.select("wrong", "sign", "c.letter", F.replace("wrong", "sign", "letter").alias("meant"), (F.col("wrong_hash") - signs[F.col("sign")] + F.col("c.power")).alias("hash"))
+    right = known.select(F.col("word").alias("right"), F.col("n").alias("n_right"), "hash")
+    found = wrong.join(right, "hash").filter("right = meant").withColumn("at", F.instr("wrong", F.col("sign")))
+    looks = ~F.col("wrong").rlike(f"[{_CYR}]") & F.coalesce(like[F.col("sign")] == F.col("letter"), F.lit(False))
+    best = Window.partitionBy("wrong").orderBy(looks.desc(), F.desc("n_right"), "right")
+    return found.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("wrong", "right", F.col("at").cast("int").alias("at"))
+
+
+def _letter_corrections(known: DataFrame) -> DataFrame:
     # a fixed list, of which each word takes the confusions whose letter it has
     rows = [(a, b, k * (ord(b) ** 5 - ord(a) ** 5), k) for a, b in CONFUSIONS for k in (1, 2)]
     names = ("right_letter", "wrong_letter", "difference", "places")
@@ -215,7 +259,8 @@ def corrections(counts: DataFrame) -> DataFrame:
 
 
 def _scan(readings: DataFrame, frequent: frozenset[str]) -> DataFrame:
-    """Rows of two sorts: (reading_id, line_no, kind) of noise that shows itself, and words to be looked up."""
+    """Rows of two sorts: (reading_id, line_no, kind) of noise that shows itself, and words to be looked up; those with a
+    sign for a letter have no line_no, for their lines are among the first."""
     spark = readings.sparkSession
     shared = spark.sparkContext.broadcast(frequent)
 
@@ -233,7 +278,10 @@ def _scan(readings: DataFrame, frequent: frozenset[str]) -> DataFrame:
                 out += [(rid, i + 1, "hyphen", None, None, None) for i in joins(lines, kind, strict=False)]
                 direct = direct_misreadings(lines, kind, noisy, stray)
                 out += [(rid, i + 1, "misread", None, None, None) for i in direct]
-                if not any(len(w) > 2 for w in set(body_words(lines, kind, broken, noisy)).difference(known)):
+                signed: list[str] = []
+                words = set(body_words(lines, kind, broken, noisy, signed))
+                out += [(rid, None, None, w, None, None) for w in set(signed)]
+                if not any(len(w) > 2 for w in words.difference(known)):
                     continue
                 for a, b, head, w in words_of(lines, kind, broken, noisy):
                     if w not in known and len(w) > 2 and not (a in direct and b is None):
@@ -261,7 +309,7 @@ def noisy_lines(readings: DataFrame) -> DataFrame:
     scanned, fixes = _prepared(readings)
     shown = scanned.filter("kind is not null").select("reading_id", "line_no", "kind")
     line = F.when(F.col("next_line").isNotNull() & (F.col("at") > F.col("head")), F.col("next_line")).otherwise(F.col("line_no"))
-    looked_up = scanned.filter("word is not null").join(fixes, F.col("word") == F.col("wrong")).select("reading_id", line.alias("line_no"), F.lit("misread").alias("kind"))
+    looked_up = scanned.filter("word is not null and line_no is not null").join(fixes, F.col("word") == F.col("wrong")).select("reading_id", line.alias("line_no"), F.lit("misread").alias("kind"))
     return shown.unionByName(looked_up).distinct()
 
 

@@ -90,3 +90,14 @@ def test_anagram_hash(spark):
     df = spark.createDataFrame([("аб",), ("ба",), ("",)], "w string")
     got = [r[0] for r in df.select(scan_noise.anagram_hash("w")).collect()]
     assert got == [ord("а") ** 5 + ord("б") ** 5] * 2 + [0]
+
+
+def test_signs_for_letters_are_mended(spark):
+    """A word with one of the signs for a letter is mended to the most frequent word that fits, also over a line end."""
+    plain = "Землю держит известный маятник. Der leichte Wagen rollt."
+    data = [(i, "m", "004", plain, None, None) for i in range(5)] + [(9, "m", "004", "Мачта маячник.", None, None)]
+    data.append((10, "m", "004", "Зем#ю держит и$вестный ма^тник, изве\\т-\nный МАЯТ%ИК и не|нак. Der le!chte Wag|n и зем#ю", None, None))
+    df = spark.createDataFrame(data, SCHEMA)
+    text = {r.reading_id: r.repaired for r in scan_noise.repaired(df).collect()}
+    assert text[10] == "Землю держит известный маятник, известный МАЯТНИК и не|нак. Der leichte Wagen и землю" and text[0] == plain
+    assert {tuple(r) for r in scan_noise.noisy_lines(df).collect()} == {(10, 1, "misread"), (10, 1, "hyphen"), (10, 2, "misread")}
