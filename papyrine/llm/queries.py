@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from papyrine.llm import charform, packing, quality, repetition, scan_noise, tokenizer, truncation
+from papyrine.operators import corpus
 from papyrine.sources.tables import table
 
 
@@ -22,6 +23,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charform.same_address_pairs(table(spark, sf_dir, "catalog"))
 
 
+def file_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Here and not in the core, because the cards' addresses are brought into one form first (problem 1)."""
+    cards = charform.with_forms(table(spark, sf_dir, "catalog").dropna(subset=["opis_code", "delo"]), prefix="")
+    return corpus.file_documents(_readings(spark, sf_dir), cards)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(_readings(spark, sf_dir))
 
@@ -69,7 +76,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_addresses, p2_found, p2_by_source, p3_found, p3_shares, p5_found, p5_text, p6_ids, p7_containers, p7_fill, p8_found, p8_statistics)
+        for f in (p1_found, p1_addresses, file_documents, p2_found, p2_by_source, p3_found, p3_shares, p5_found, p5_text, p6_ids, p7_containers, p7_fill, p8_found, p8_statistics)
     }
 
 

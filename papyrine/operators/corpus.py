@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.functions import parse
 from papyrine.functions.text import normal_line
 
 _HEAD = r"(?m)^## Лист (\S+)\s*$"
@@ -35,6 +36,32 @@ def complete_only(df: DataFrame, done: str, expected: str) -> DataFrame:
     return df.filter((F.col(expected) > 0) & (F.col(done) >= F.col(expected)))
 
 
+def file_documents(readings: DataFrame, cards: DataFrame, volume: int = 500) -> DataFrame:
+    """(opis_code, delo, volume, portal_id, sheets, document): the files of which every sheet has a done reading, each
+    volume under a header with the file's particulars.
+
+    ``cards`` has an address in the form that ``readings`` has it in, portal_id, opis, name and fetched_at; the newest
+    card of an address counts, and a file without a card gets a header of its address only. A sheet takes its last done
+    reading that has a text; a blank text is an empty sheet, a null one is not received. ``sheets`` counts the volume's.
+    """
+    key, done = ["opis_code", "delo"], F.col("status") == "done"
+    pages = readings.groupBy(*key, "page").agg(F.max(F.coalesce(done, F.lit(False)).cast("int")).alias("done"))
+    complete = complete_only(pages.groupBy(*key).agg(F.sum("done").alias("done"), F.count("*").alias("scans")), "done", "scans")
+    last = readings.filter(done).groupBy(*key, "page").agg(F.max_by("text", F.struct(F.col("text").isNotNull(), "read_at", "reading_id")).alias("text"))
+    text = F.when(F.col("text").rlike(r"(?U)^\s*$"), "[пустой лист]").otherwise(F.col("text"))
+    sheets = last.join(complete.select(*key), key, "left_semi").withColumns({"text": text, "volume": F.floor(F.col("page").cast("int") / volume).cast("int")})
+    card = cards.groupBy(*key).agg(F.max_by(F.struct("opis", "name", "portal_id"), F.struct("fetched_at", "portal_id")).alias("card")).select(*key, "card.*")
+    fields = parse.name_fields(F.col("name")) | {"dates": parse.card_field(F.col("name"), "Крайние даты:")}
+    labels = {"title": "Название", "material": "Вид материала", "reproduction": "Способ воспроизведения", "language": "Языки", "dates": "Крайние даты"}
+    head = [F.concat(F.lit("# "), F.coalesce("opis", F.concat(F.lit("Опись "), "opis_code")), F.lit(", дело "), parse.strip_zeros(F.col("delo"))), F.lit("")]
+    head += [F.when(fields[k] != "", F.concat(F.lit(f"**{v}:** "), fields[k])) for k, v in labels.items()]
+    head += [F.concat(F.lit("**Сканов:** "), F.col("scans").cast("string")), F.concat(F.lit("**Источник:** карточка "), F.col("portal_id").cast("string"))]
+    note = "\n> Машинная транскрипция. Экспертная выверка не проводилась. Орфография оригинала сохранена.\n\n---\n\n"
+    heads = complete.select(*key, "scans").join(card, key, "left").select(*key, "portal_id", F.concat(F.concat_ws("\n", *head), F.lit("\n" + note)).alias("head"))
+    bodies = assemble(sheets, [*key, "volume"], "page", "text")
+    return bodies.join(heads, key).select(*key, "volume", "portal_id", F.col("sheets").cast("bigint").alias("sheets"), F.concat("head", "document").alias("document"))
+
+
 def overlap(above: Column, below: Column, longest: int = 6) -> Column:
     """How many last lines of one strip are the first ones of the next, compared without case and signs (at most ``longest``)."""
     a, b = (F.transform(F.split(c, "\n"), normal_line) for c in (above, below))

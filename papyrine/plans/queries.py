@@ -146,6 +146,7 @@ def _sheets(spark, sf):
 
 @query(f"""with {_SHEETS} select opis_code, delo, page::int // 500 as volume, count(*) sheets, md5(string_agg('## Лист ' || page || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page)) document from s group by 1, 2, 3""")
 def doc_assemble(spark, sf):
+    """Bodies of the sheets that have a text, of incomplete files too, as its SQL; ``file_documents`` is the whole job."""
     done = corpus.assemble(_sheets(spark, sf), ["opis_code", "delo", "volume"], "page", "text")
     return done.select("opis_code", "delo", F.col("volume").cast("int").alias("volume"), F.col("sheets").cast("bigint").alias("sheets"), F.md5("document").alias("document"))
 
