@@ -284,7 +284,7 @@ def _scan(readings: DataFrame, frequent: frozenset[str]) -> DataFrame:
                 if not any(len(w) > 2 for w in words.difference(known)):
                     continue
                 for a, b, head, w in words_of(lines, kind, broken, noisy):
-                    if w not in known and len(w) > 2 and not (a in direct and b is None):
+                    if w not in known and len(w) > 2:
                         out.append((rid, a + 1, None, w, None if b is None else b + 1, head))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32()]

@@ -101,3 +101,11 @@ def test_signs_for_letters_are_mended(spark):
     text = {r.reading_id: r.repaired for r in scan_noise.repaired(df).collect()}
     assert text[10] == "Землю держит известный маятник, известный МАЯТНИК и не|нак. Der leichte Wagen и землю" and text[0] == plain
     assert {tuple(r) for r in scan_noise.noisy_lines(df).collect()} == {(10, 1, "misread"), (10, 1, "hyphen"), (10, 2, "misread")}
+
+
+def test_letters_beside_a_misreading_that_shows_itself(spark):
+    """A word misread letter for letter is mended though its only line has another misreading."""
+    data = [(i, "m", "004", "Точный маятник держит такой груз. " * 5 + "Верный конец.", None, None) for i in range(20)]
+    data.append((100, "m", "004", "Точный маягник держит так0й груз. Верный конец.", None, None))
+    df = spark.createDataFrame(data, SCHEMA)
+    assert {r.reading_id: r.repaired for r in scan_noise.repaired(df).collect()}[100] == "Точный маятник держит такой груз. Верный конец."
