@@ -105,7 +105,7 @@ def shares(text: str | None, page: int | None = None) -> tuple[int, float | None
         _copies(codes, sentences, 2, by[0])
         _copies(codes, lines, 3, by[1])
         seen, last = set(), -1
-        if n >= 2 * PASSAGE and len(index) < n - PASSAGE:
+        if n >= 2 * PASSAGE and len(index) <= n - PASSAGE:
             for i in range(n - PASSAGE + 1):
                 key = tuple(codes[i : i + PASSAGE])
                 if key in seen:

@@ -109,3 +109,9 @@ def test_letters_beside_a_misreading_that_shows_itself(spark):
     data.append((100, "m", "004", "Точный маягник держит так0й груз. Верный конец.", None, None))
     df = spark.createDataFrame(data, SCHEMA)
     assert {r.reading_id: r.repaired for r in scan_noise.repaired(df).collect()}[100] == "Точный маятник держит такой груз. Верный конец."
+
+
+def test_one_passage_of_ten_words_said_twice():
+    """The only repetition is one passage of exactly ten words that is no sentence and no line."""
+    text = "Утром медный маятник над старым столом держит тонкий верный груз без потери снова потом медный маятник над старым столом держит тонкий верный груз без остатка."
+    assert repetition.shares(text)[1] == 10 / 25
