@@ -39,6 +39,8 @@ _OPEN = re.compile(r"\[[^\[\]]*$")
 FINISHED, UNFINISHED, UNSURE = "finished", "unfinished", "unsure"
 #: Log odds that each evidence adds. A reading that ends with a finished sentence is no case, wherever it ends.
 WEIGHT = {FINISHED: -12.0, UNFINISHED: 7.0, UNSURE: 0.5}
+#: The least prior of a cut, so that a large source with few cuts does not lose them.
+LEAST_PRIOR = 0.01
 #: A limit's length must be this many times as frequent as those around it, and have this many unfinished readings.
 EXCESS, LEAST = 6.0, 4
 #: How far around a length the comparison goes.
@@ -216,7 +218,7 @@ def truncation(readings: DataFrame) -> DataFrame:
         .join(rates, "source", "left")
     )
     at_limit = F.greatest(F.coalesce("by_chars", F.lit(0.0)), F.coalesce("by_bytes", F.lit(0.0)))
-    prior = F.least(F.lit(0.99), F.greatest(at_limit, F.col("rate")))
+    prior = F.least(F.lit(0.99), F.greatest(at_limit, F.col("rate"), F.lit(LEAST_PRIOR)))
     weight = F.when(F.col("evidence") == FINISHED, WEIGHT[FINISHED]).when(F.col("evidence") == UNFINISHED, WEIGHT[UNFINISHED]).otherwise(WEIGHT[UNSURE])
     odds = F.log(prior / (1 - prior)) + weight
     return joined.select(

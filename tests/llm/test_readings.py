@@ -115,3 +115,12 @@ def test_one_passage_of_ten_words_said_twice():
     """The only repetition is one passage of exactly ten words that is no sentence and no line."""
     text = "Утром медный маятник над старым столом держит тонкий верный груз без потери снова потом медный маятник над старым столом держит тонкий верный груз без остатка."
     assert repetition.shares(text)[1] == 10 / 25
+
+
+def test_one_cut_among_many(spark):
+    """A source that hardly ever cuts does not lose its one cut reading."""
+    rng = random.Random(8)
+    data = [(i, "clean", "003", " ".join(sentence(rng) for _ in range(rng.randrange(2, 5))), None, None) for i in range(3000)]
+    data.append((5000, "clean", "003", sentence(rng) + " Медный маятник и", None, None))
+    df = spark.createDataFrame(data, SCHEMA)
+    assert [r[0] for r in truncation.truncated(df).collect()] == [5000]
