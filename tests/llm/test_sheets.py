@@ -69,4 +69,39 @@ def test_shares():
     assert repetition.shares(f"{HEAD}\n{a} {wrapped}\n{b}\n5", 4)[1] == pytest.approx(12 / 36)
     assert repetition.shares("на высоте; " * 9)[1] > 0.8
     assert repetition.shares("| 1 | 1 |\n" * 20 + a)[1] == 0.0
-    assert repetition.shares(None)[1] is repetition.shares("[пустой лист]")[1] is None
+    assert repetition.shares(None)[1] is repetition.shares(" \n")[1] is None
+    # the words of marks count, the mark of doubt does not
+    assert repetition.shares("[пустой лист]")[:2] == (2, 0.0)
+    assert repetition.shares("[на полях: [неразборчиво]]\n" * 40)[1] > 0.9
+    assert repetition.shares(f"{a} {b}[?] [?] [?]")[1] == 0.0
+
+
+def test_first_look_agrees_with_the_exact_search():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    texts = []
+    for _ in range(300):
+        words = [rng.choice("абвгдежзик") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 60))]
+        cut = rng.randrange(len(words))
+        texts.append(" ".join(words + words[cut:] * rng.randrange(0, 3)))
+    together = repetition.measure(texts, [None] * len(texts))
+    for text, got in zip(texts, together, strict=True):
+        words = repetition.units(text)[0]
+        index = {}
+        codes = np.array([index.setdefault(w, len(index)) for w in words])
+        marked = np.zeros((2, len(words)), bool)
+        repetition._passages(codes, marked[0])
+        repetition._loops(codes, marked[1])
+        assert got[4:6] == tuple((np.count_nonzero(marked, axis=1) / len(words)).tolist())
+
+
+def test_functions_can_be_outvoted():
+    code = lambda votes: sum(v * 3**k for k, v in enumerate(votes))
+    for_it, against = code([1] * 7), code([2] * 7)
+    model = repetition.RepetitionModel({for_it: 60, against: 900, code([2, 2, 1, 1, 1, 1, 1]): 30, code([2, 0, 2, 2, 2, 1, 2]): 10})
+    assert model.posterior(for_it) > 0.99 > 0.01 > model.posterior(against)
+    assert model.posterior(code([2, 2, 1, 1, 1, 1, 1])) > 0.9  # no copies of sentences and lines, but all else
+    assert model.posterior(code([2, 1, 2, 2, 2, 2, 2])) < 0.5  # one function alone
