@@ -4,8 +4,16 @@ Lengths are censored from above: a source with a field limit shows an atom of re
 characters or in bytes. For each source the candidate limits are the lengths that are far more frequent than those
 around them; a log-normal length distribution is fitted by maximum likelihood (expectation-maximisation over the
 histogram of lengths) with the readings at a limit right-censored there, and the censoring posterior of a limit is the
-part of its atom that the fitted density does not explain. Away from the limits the prior is the source's rate of cuts
-in transfer. How the body ends is the other evidence; both are combined as log odds.
+part of its atom that the fitted density does not explain. Away from the limits a text may have been cut in transfer, at
+any place of it: what speaks for that is the source's rate of such cuts, and the length, since under the same fit texts
+cut somewhere are of other lengths than whole ones (E[1/X; X > c] against f(c)).
+
+How the body ends is the other evidence, one of a few kinds of ending. How likely each kind is among the cut and among
+the whole readings of a source, and the rate of cuts in transfer, are estimated for each source by
+expectation-maximisation over counts of (kind, censoring log odds), from common starting values that weigh as much as a
+number of readings. A closed ending - a full sentence, row, total, signature, date - is no case by definition; its
+likelihood under a cut is held at ``CLOSED_CUT``. The posterior is the prior odds of the place and length times the
+source's likelihood ratio of the kind.
 
 The ends of labels, signatures and date lines are compared with the ends of all others: one that is the beginning of
 a far more frequent one is cut. The texts are read in one narrow pass; what is shuffled is a few numbers a reading.
@@ -35,12 +43,26 @@ _DATE_LINE = re.compile(r"\d{1,2}\s+([^\W\d_]+)\s+1[5-9]\d\d\s+г\.\s+([^\W\d_].
 _DATE_PART = re.compile(r"\d{1,2}\s+[^\W\d_]+(?:\s+\d{1,4}(?:\s+г)?\.?)?")
 _OPEN = re.compile(r"\[[^\[\]]*$")
 
-#: Evidence of the end: the body is finished, it is not, or it cannot be told.
-FINISHED, UNFINISHED, UNSURE = "finished", "unfinished", "unsure"
-#: Log odds that each evidence adds. A reading that ends with a finished sentence is no case, wherever it ends.
-WEIGHT = {FINISHED: -12.0, UNFINISHED: 7.0, UNSURE: 0.5}
-#: The least prior of a cut, so that a large source with few cuts does not lose them.
+#: Kinds of ending: the body is finished, it is not (for several reasons), or it cannot be told from the ending.
+FINISHED = "finished"
+# no stop; half a character; an open mark; half a row, sum, item or date
+UNFINISHED, BROKEN, OPEN, HALF = "unfinished", "broken", "open", "half"
+# an illegible place after no stop; a stop inside an open quotation
+DOUBTFUL_MARK, QUOTE = "doubtful", "quote"
+#: Starting likelihoods of each kind: (among whole readings, among cut ones). Whole readings rarely end openly.
+START = {
+    FINISHED: (0.98, None), UNFINISHED: (8e-5, 0.80), BROKEN: (3e-6, 0.03), OPEN: (5e-6, 0.05), HALF: (7e-6, 0.07),
+    DOUBTFUL_MARK: (0.01, 0.02), QUOTE: (0.01, 0.02),
+}
+#: The likelihood of a closed ending under a cut.
+CLOSED_CUT = 1e-5
+#: How many readings the starting likelihoods weigh at least. Those of whole readings weigh as much as the source's own
+#: readings: away from limits an open ending alone cannot tell a source that cuts from one that does without stops.
+ADDED = 50.0
+#: The least rate of cuts in transfer, so that a large source with few cuts does not lose them.
 LEAST_PRIOR = 0.01
+#: The most that a length alone can speak for or against a cut in transfer (log odds).
+LENGTH_ODDS = 1.0
 #: A limit's length must be this many times as frequent as those around it, and have this many unfinished readings.
 EXCESS, LEAST = 6.0, 4
 #: How far around a length the comparison goes.
@@ -64,7 +86,7 @@ def ending(text: str | None, page: int | None = None) -> tuple[int, int, str, st
     bare = upto.rstrip("�")
     evidence, tail_kind, tail = _evidence(lines, kind, body)
     if broken:
-        evidence, tail_kind, tail = UNFINISHED, None, None
+        evidence, tail_kind, tail = BROKEN, None, None
     return len(upto), len(bare.encode("utf-8", "surrogatepass")), evidence, tail_kind, tail
 
 
@@ -75,7 +97,7 @@ def _evidence(lines: list[str], kind: list[str], body: list[int]) -> tuple[str,
     if last[0] == "|":
         rows = [lines[i].strip() for i in body if lines[i].lstrip().startswith("|")]
         whole = last[-1] == "|" and len(last) > 1 and (len(rows) < 2 or last.count("|") == rows[0].count("|"))
-        return (FINISHED if whole else UNFINISHED), None, None
+        return (FINISHED if whole else HALF), None, None
     if TOTAL.fullmatch(last):
         figures = []
         for i in reversed(body[:-1]):
@@ -85,19 +107,19 @@ def _evidence(lines: list[str], kind: list[str], body: list[int]) -> tuple[str,
                 break
         total = last.split()[-1]
         if not total.isdigit():
-            return UNFINISHED, None, None
+            return HALF, None, None
         worked = str(sum(map(int, figures))) if figures and all(map(str.isdigit, figures)) else total
-        return (UNFINISHED if worked != total and worked.startswith(total) else FINISHED), None, None
+        return (HALF if worked != total and worked.startswith(total) else FINISHED), None, None
     if BARE.fullmatch(last) and BARE.fullmatch(before):
-        return UNFINISHED, None, None  # a column without its total
+        return HALF, None, None  # a column without its total
     if _OPEN.search(last) or last.count("~~") % 2:
-        return UNFINISHED, None, None
+        return OPEN, None, None
     if found := _DATE_LINE.fullmatch(last):
         return FINISHED, "date", found[2]
     if found := _SIGNATURE.fullmatch(last):
         return FINISHED, "signature", found[1]
     if _DATE_PART.fullmatch(last):
-        return UNFINISHED, None, None
+        return HALF, None, None
     if found := _MARK_END.search(last):
         rest = last[: found.start()].rstrip()
         if not rest:
@@ -115,12 +137,12 @@ def _evidence(lines: list[str], kind: list[str], body: list[int]) -> tuple[str,
                 return FINISHED, None, None
         if _END.search(re.sub(r"\[\?\]\s*$", "", rest)):
             return FINISHED, None, None
-        return (UNSURE if found[0].rstrip().endswith("]") else UNFINISHED), None, None
+        return (DOUBTFUL_MARK if found[0].rstrip().endswith("]") else UNFINISHED), None, None
     if _END.search(last) and not last.endswith("[?]"):
         if re.fullmatch(r"\(?\d{1,3}[.)]|№ ?\d+[.)]?|[^\W\d_]\.", last):
-            return UNFINISHED, None, None  # the number of an item or an initial, with nothing after it
+            return HALF, None, None  # the number of an item or an initial, with nothing after it
         opened = last.count("«") - last.count("»")
-        return (UNSURE if opened > 0 and "«" in last and not last.endswith("»") else FINISHED), None, None
+        return (QUOTE if opened > 0 and "«" in last and not last.endswith("»") else FINISHED), None, None
     if len(body) == 1 and len(last) <= 40 and last[0].isupper():
         return FINISHED, "label", last
     return UNFINISHED, None, None
@@ -152,12 +174,11 @@ def _cut_tails(table: DataFrame) -> DataFrame:
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Limits of one source and unit with their censoring posteriors, from the histogram of its lengths."""
+    """Limits of one source and unit with their censoring posteriors, from the histogram of its lengths; first a row
+    with the fit alone."""
     length, n = pdf["length"].to_numpy(float), pdf["n"].to_numpy(float)
     limit = pdf["candidate"].to_numpy(bool)
-    out = pd.DataFrame({"source": pdf["source"].iloc[0], "unit": pdf["unit"].iloc[0], "limit": pdf["length"][limit].astype("int64")})
-    if not limit.any():
-        return out.assign(posterior=pd.Series(dtype=float), mu=pd.Series(dtype=float), sigma=pd.Series(dtype=float))
+    out = pd.DataFrame({"source": pdf["source"].iloc[0], "unit": pdf["unit"].iloc[0], "limit": pd.array([None, *pdf["length"][limit]], dtype="Int64")})
     z = np.log(np.maximum(length, 1))
     total = n.sum()
     censored = np.where(limit, 0.8, 0.0)
@@ -175,16 +196,17 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
         sigma = max(0.05, math.sqrt(max(1e-6, float((w * z * z + c * second).sum() / total) - mu * mu)))
         expected = total * density / (sigma * np.maximum(length, 1))
         censored = np.where(limit, np.clip(1 - expected / n, 0.01, 0.99), 0.0)
-    return out.assign(posterior=censored[limit], mu=mu, sigma=sigma)
+    return out.assign(posterior=[math.nan, *censored[limit]], mu=mu, sigma=sigma)
 
 
 def limits(table: DataFrame) -> DataFrame:
-    """(source, unit, limit, posterior, mu, sigma) of every candidate limit; source '' stands for a null model."""
+    """(source, unit, limit, posterior, mu, sigma) of every candidate limit, and once for each source and unit with a null
+    limit; source '' stands for a null model."""
     source = F.coalesce(F.col("model"), F.lit("")).alias("source")
     both = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("x")
     histogram = (
         table.filter("chars is not null")
-        .select(source, both, (F.col("evidence") == UNFINISHED).cast("int").alias("open"))
+        .select(source, both, F.col("evidence").isin(UNFINISHED, BROKEN, OPEN, HALF).cast("int").alias("open"))
         .groupBy("source", "x.unit", "x.length")
         .agg(F.count("*").alias("n"), F.sum("open").alias("open"))
     )
@@ -194,35 +216,71 @@ def limits(table: DataFrame) -> DataFrame:
     return marked.groupBy("source", "unit").applyInPandas(_fit, "source string, unit string, limit bigint, posterior double, mu double, sigma double")
 
 
-def truncation(readings: DataFrame) -> DataFrame:
+def _likelihoods(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(source, evidence, weight, rate) of one source from counts of (evidence, censoring log odds, at a limit)."""
+    kinds_ = list(START)
+    kind = pdf["evidence"].map(kinds_.index).to_numpy()
+    n, odds, limit = pdf["n"].to_numpy(float), pdf["odds"].to_numpy(float), pdf["at_limit"].to_numpy(bool)
+    start = np.array([[u, CLOSED_CUT if c is None else c] for u, c in START.values()]).T
+    start /= start.sum(axis=1, keepdims=True)
+    theta, rate = start.copy(), 0.05
+    added = (max(ADDED, float(n.sum())), ADDED)
+    for _ in range(60):
+        prior = np.where(limit, odds, odds + math.log(rate / (1 - rate)))
+        cut_part = 1 / (1 + np.exp(-np.clip(prior + np.log(theta[1][kind] / theta[0][kind]), -700, 700)))
+        for c, part in enumerate((1 - cut_part, cut_part)):
+            theta[c] = np.bincount(kind, n * part, len(kinds_)) + added[c] * start[c]
+        theta[1][[k for k, (_, c) in enumerate(START.values()) if c is None]] = 0
+        theta /= theta.sum(axis=1, keepdims=True)
+        theta[1] = np.maximum(theta[1], CLOSED_CUT)
+        away = ~limit
+        rate = max(LEAST_PRIOR, min(0.99, float((n * cut_part)[away].sum() + 0.5) / float(n[away].sum() + 10)))
+    return pd.DataFrame({"source": pdf["source"].iloc[0], "evidence": kinds_, "weight": np.log(theta[1] / theta[0]), "rate": rate})
+
+
+def _length_odds(length: str) -> F.Column:
+    """Log of E[1/X; X > c] / f(c) under the source's log-normal fit: cut at any place against whole, by length alone."""
+    z = (F.log(F.greatest(F.col(length), F.lit(1))) - F.col("mu")) / F.col("sigma")
+    y = z + F.col("sigma")
+    # the upper tail of the normal distribution, to 0.0002
+    tail = 1 / (1 + F.exp(F.least(F.lit(700.0), 1.5976 * y + 0.07056 * y * y * y)))
+    cut_ = -F.col("mu") + F.col("sigma") * F.col("sigma") / 2 + F.log(F.greatest(tail, F.lit(1e-300)))
+    whole = -z * z / 2 - F.log(F.col("sigma") * F.greatest(F.col(length), F.lit(1)) * math.sqrt(2 * math.pi))
+    return F.greatest(F.lit(-LENGTH_ODDS), F.least(F.lit(LENGTH_ODDS), cut_ - whole))
+
+
+def truncation(readings: DataFrame, fitted: bool = True) -> DataFrame:
     """(reading_id, model, chars, bytes, evidence, at_limit, posterior, is_cut): one row for each distinct reading.
 
-    The limits are a handful of rows for each source and are broadcast below Spark's own threshold only.
+    The limits, fits and likelihoods are a handful of rows for each source and are broadcast below Spark's own threshold
+    only. ``fitted`` false leaves the length distributions out, to see what they decide.
     """
     table = cut(endings(readings))
     table = table.join(_cut_tails(table), ["tail_kind", "tail"], "left").withColumn("evidence", F.when(F.col("cut_tail"), UNFINISHED).otherwise(F.col("evidence")))
     found = limits(table)
     # a broken last character leaves up to three bytes unwritten
-    chars = found.filter("unit = 'chars'").select("source", F.col("limit").alias("chars"), F.col("posterior").alias("by_chars"))
-    octets = found.filter("unit = 'bytes'").select("source", F.explode(F.sequence(F.col("limit") - 3, F.col("limit"))).alias("bytes"), F.col("posterior").alias("p"))
+    chars = found.filter("unit = 'chars' and limit is not null").select("source", F.col("limit").alias("chars"), F.col("posterior").alias("by_chars"))
+    octets = found.filter("unit = 'bytes' and limit is not null").select("source", F.explode(F.sequence(F.col("limit") - 3, F.col("limit"))).alias("bytes"), F.col("posterior").alias("p"))
     octets = octets.groupBy("source", "bytes").agg(F.max("p").alias("by_bytes"))
-    rates = (
-        table.filter("evidence is not null")
-        .groupBy(F.coalesce(F.col("model"), F.lit("")).alias("source"))
-        .agg(((F.count_if(F.col("evidence") == UNFINISHED) + 0.5) / (F.count("*") + 10)).alias("rate"))
-    )
+    fits = found.filter("unit = 'chars' and limit is null").select("source", "mu", "sigma")
     joined = (
         table.withColumn("source", F.coalesce(F.col("model"), F.lit("")))
         .join(chars, ["source", "chars"], "left")
         .join(octets, ["source", "bytes"], "left")
-        .join(rates, "source", "left")
+        .join(fits, "source", "left")
     )
     at_limit = F.greatest(F.coalesce("by_chars", F.lit(0.0)), F.coalesce("by_bytes", F.lit(0.0)))
-    prior = F.least(F.lit(0.99), F.greatest(at_limit, F.col("rate"), F.lit(LEAST_PRIOR)))
-    weight = F.when(F.col("evidence") == FINISHED, WEIGHT[FINISHED]).when(F.col("evidence") == UNFINISHED, WEIGHT[UNFINISHED]).otherwise(WEIGHT[UNSURE])
-    odds = F.log(prior / (1 - prior)) + weight
-    return joined.select(
-        "reading_id", "model", "chars", "bytes", "evidence", (at_limit > 0).alias("at_limit"), F.when(F.col("evidence").isNotNull(), 1 / (1 + F.exp(-odds))).alias("posterior")
+    if not fitted:
+        at_limit = F.lit(0.0)
+    joined = joined.withColumn("p", at_limit).withColumn("at_limit", F.col("p") > 0)
+    away = F.coalesce(_length_odds("chars"), F.lit(0.0)) if fitted else F.lit(0.0)
+    joined = joined.withColumn("odds", F.round(F.when(F.col("at_limit"), F.log(F.col("p") / (1 - F.col("p")))).otherwise(away), 1))
+    counts = joined.filter("evidence is not null").groupBy("source", "evidence", "odds", "at_limit").agg(F.count("*").alias("n"))
+    learned = counts.groupBy("source").applyInPandas(_likelihoods, "source string, evidence string, weight double, rate double")
+    scored = joined.join(learned, ["source", "evidence"], "left")
+    prior = F.col("odds") + F.when(F.col("at_limit"), 0.0).otherwise(F.log(F.col("rate") / (1 - F.col("rate"))))
+    return scored.select(
+        "reading_id", "model", "chars", "bytes", "evidence", "at_limit", F.when(F.col("evidence").isNotNull(), 1 / (1 + F.exp(-(prior + F.col("weight"))))).alias("posterior")
     ).withColumn("is_cut", F.coalesce(F.col("posterior") > 0.5, F.lit(False)))
 
 

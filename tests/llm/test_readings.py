@@ -43,7 +43,7 @@ def test_truncated(readings, rows):
     assert {r[0] for r in truncation.truncated(df).collect()} == cut
     report = {r.model: r for r in truncation.truncation_by_source(df).collect()}
     assert report["limited"].readings == 202 and report["limited"].at_limit > 50 and report[None].at_limit == 0
-    found = truncation.limits(truncation.endings(df)).filter("unit = 'chars'").collect()
+    found = truncation.limits(truncation.endings(df)).filter("unit = 'chars' and limit is not null").collect()
     assert [(r.source, r.limit) for r in found] == [("limited", 300)] and found[0].posterior > 0.9
     assert truncation.truncated(df.limit(0)).count() == 0
 
@@ -55,7 +55,7 @@ def test_censored_fit_finds_the_uncut_lengths():
     z = np.exp(np.random.default_rng(1).normal(6.0, 0.5, 20_000)).round()
     z = np.minimum(z, 500)
     length, n = np.unique(z, return_counts=True)
-    got = truncation._fit(pd.DataFrame({"source": "s", "unit": "chars", "length": length, "n": n, "candidate": length == 500})).iloc[0]
+    got = truncation._fit(pd.DataFrame({"source": "s", "unit": "chars", "length": length, "n": n, "candidate": length == 500})).iloc[1]
     assert abs(got.mu - 6.0) < 0.03 and abs(got.sigma - 0.5) < 0.03 and got.posterior > 0.95
 
 
@@ -124,3 +124,27 @@ def test_one_cut_among_many(spark):
     data.append((5000, "clean", "003", sentence(rng) + " Медный маятник и", None, None))
     df = spark.createDataFrame(data, SCHEMA)
     assert [r[0] for r in truncation.truncated(df).collect()] == [5000]
+
+
+def test_the_fit_decides_where_the_ending_does_not(spark):
+    """Readings that end in an illegible place after no stop: cut at the field limit, whole elsewhere."""
+    rng = random.Random(9)
+    data, at_limit, elsewhere = [], set(), set()
+    mark = " [неразборчиво]"
+    for i in range(900):
+        text = " ".join(sentence(rng) for _ in range(rng.randrange(3, 12)))
+        if len(text) > 400:
+            text = text[:400]
+            if i % 6 == 0:
+                text = text[: 400 - len(mark)].rstrip(". ")
+                text += "н" * (400 - len(mark) - len(text)) + mark
+                at_limit.add(i)
+        elif i % 6 == 0:
+            text = text.rstrip(".") + mark
+            elsewhere.add(i)
+        data.append((i, "limited", "003", text, None, None))
+    df = spark.createDataFrame(data, SCHEMA)
+    found = {r[0] for r in truncation.truncated(df).collect()}
+    assert len(at_limit) > 20 < len(elsewhere) and at_limit <= found and not elsewhere & found
+    unfitted = {r[0] for r in truncation.truncation(df, fitted=False).filter("is_cut").collect()}
+    assert not at_limit <= unfitted
