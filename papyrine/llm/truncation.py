@@ -257,7 +257,7 @@ def truncation(readings: DataFrame, fitted: bool = True) -> DataFrame:
     """
     table = cut(endings(readings))
     table = table.join(_cut_tails(table), ["tail_kind", "tail"], "left").withColumn("evidence", F.when(F.col("cut_tail"), UNFINISHED).otherwise(F.col("evidence")))
-    found = limits(table)
+    found = cut(limits(table))
     # a broken last character leaves up to three bytes unwritten
     chars = found.filter("unit = 'chars' and limit is not null").select("source", F.col("limit").alias("chars"), F.col("posterior").alias("by_chars"))
     octets = found.filter("unit = 'bytes' and limit is not null").select("source", F.explode(F.sequence(F.col("limit") - 3, F.col("limit"))).alias("bytes"), F.col("posterior").alias("p"))
