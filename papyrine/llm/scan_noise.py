@@ -1,17 +1,22 @@
 """Problem 5: noise in the text of scanned sheets, found line by line, and the text repaired into paragraphs.
 
-Lines: running titles and page numbers come from ``sheets.kinds``. A line that ends in a letter and a breaking sign is
-broken if the next line of the body goes on in lower case; titles between the halves do not matter.
+Lines: running titles and page numbers come from ``sheets.kinds``; titles in wordings of their own from the lines that
+recur at the edges of a file's sheets (``titles``). A line that ends in a letter and a breaking sign is broken if the
+next line of the body goes on in lower case; titles between the halves do not matter. Whether the joined word keeps a
+hyphen is decided by counts: it does if the word is written with one inside lines more often than without.
 
 Misread characters: a sign or digit inside a word, or a letter of another script, shows itself. A letter misread as
 another letter is found through the vocabulary: all words of the corpus are counted (added up in each task first), and
 each has an anagram hash, the sum of the fifth powers of its code points. Two words that differ by one confusion a -> b
 differ by b^5 - a^5 in it, whatever the place. So rare words are joined with frequent ones in SQL by an equi-join on
-the hash less each of a fixed list of confusions; the letters are compared after the join, and the correction of each
-word is the best ranked by frequency. Words that are neither frequent nor part of a correction can be told apart in
-the second pass by a set of frequent words, which holds at most 1 / ``FREQUENT`` words whatever the corpus.
+the hash less each confusion; the letters are compared after the join, and the correction of each word is the best
+ranked by frequency. The confusions are a fixed list of well-known ones and those that the corpus itself shows: pairs
+of letters by which enough rare words differ from far more frequent ones, inside the word, not in its ending.
+Words that are neither frequent nor part of a correction can be told apart in the second pass by a set of frequent
+words, which holds at most 1 / ``FREQUENT`` words whatever the corpus.
 A word with one sign for a letter is joined in the same way, on the hash less (sign^5 - letter^5) for every letter of
 its script; since the sign is no letter for certain, its correction need only be a word that is known.
+Only words of Cyrillic or Latin letters are hashed; words of other scripts are left as they are.
 
 Results at the edges: null and empty texts have no lines; texts are read whole; rows delivered twice count once; a
 word broken over a line end belongs to the line in which its misread letter stands.
@@ -27,7 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.llm.sheets import kinds, page_number
-from papyrine.session import cut
+from papyrine.llm.titles import with_titles
+from papyrine.session import SHARED_ROWS, cut, once
 
 # Letters and what they are misread as. (letter, misread as)
 CONFUSIONS = [
@@ -44,6 +50,8 @@ BREAKS = "-‐‑¬=\xad"
 
 #: A word is frequent if it makes up this share of all words; so there are at most 100,000 frequent words.
 FREQUENT = 1e-5
+#: A pair of letters is a confusion if this many rare words show it inside the word.
+SHOWN = 5
 #: A word is a misreading if the word it stands for is this many times as frequent.
 RATIO = 20
 
@@ -66,6 +74,7 @@ _SIGNED = re.compile(rf"{_ANY}+[{_NOISE}]{_ANY}+")
 # letters that a sign may stand for, by script
 _LETTERS_OF = {_CYR: "абвгдеёжзийклмнопрстуфхцчшщъыьэюяіѣѳѵ", _LAT: "abcdefghijklmnopqrstuvwxyzàâäæçèéêëîïôöœùûüß"}
 _TOKEN = re.compile(rf"(?:[^\W_]|(?<=[^\W_])[{_NOISE}](?=[^\W_]))+")
+_COMPOUND = re.compile(rf"{_ANY}+(?:-{_ANY}+)+")
 _STRAY = re.compile(r"[aceopxyAEOPCTXKMHB](?<![^\W_'’-].)[aceopxyAEOPCTXKMHB]{0,2}(?![^\W_'’-])")
 _ROMAN = re.compile(r"[IVXLCDM]+")
 _MARK = re.compile(r"\[(?:[^\[\]]|\[[^\[\]]*\])*\]")
@@ -169,33 +178,58 @@ def direct_misreadings(lines: list[str], kind: list[str], noisy: bool = True, st
     return out
 
 
-def _sheet(text: str, page: str | None):
+def _sheet(text: str, page: str | None, titles: list[str] | None = None):
     """(lines, their kinds, broken words), and whether the sheet may have misread characters that show themselves."""
     text = _clean(text)
     lines = text.split("\n")
-    kind = kinds(lines, page_number(page))
+    kind = kinds(lines, page_number(page), frozenset(titles or ()))
     return (lines, kind, joins(lines, kind)), _DIRECT.search(text) is not None, _STRAY.search(text) is not None and _LETTERS.search(text) is not None
 
 
+def _halves(lines: list[str], broken: dict[int, int]) -> list[str]:
+    """The broken words of a sheet in lower case, a not sign between their halves."""
+    out = []
+    for i, j in broken.items():
+        head, tail = _WORD_END.search(lines[i].lower()), _WORD_START.match(lines[j].lower().lstrip())
+        if head and tail:
+            out.append(f"{head[1]}¬{tail[0]}")
+    return out
+
+
+def _with_titles(readings: DataFrame, key: bool = False) -> DataFrame:
+    """page, text and titles of the readings; ``key``: reading_id first, rows without one left out."""
+    if key:
+        readings = readings.filter("reading_id is not null").withColumn("reading_id", F.col("reading_id").cast("bigint"))
+    return with_titles(readings, [*["reading_id"] * key, "page", "text"])
+
+
 def word_counts(readings: DataFrame) -> DataFrame:
-    """(word, n) over all sheets, words with one sign for a letter among them. Each task adds its words up before
-    anything is shuffled."""
+    """(word, n) over all sheets; among them words with one sign for a letter, words with hyphens inside a line, and
+    words broken over a line end (with a not sign). Each task adds its words up before anything is shuffled."""
+    return _counted(_with_titles(readings))
+
+
+def _counted(titled: DataFrame) -> DataFrame:
 
     def count(batches):
         total: Counter[str] = Counter()
         for batch in batches:
-            for text, page in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
+            for page, text, titles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text:
-                    sheet, noisy, _ = _sheet(text, page)
+                    (lines, kind, broken), noisy, _ = _sheet(text, page, titles)
                     signed: list[str] = []
-                    total.update(body_words(*sheet, noisy, signed)[:-1])  # the last word may be cut
+                    total.update(body_words(lines, kind, broken, noisy, signed)[:-1])  # the last word may be cut
                     total.update(signed)
+                    if broken:
+                        total.update(_halves(lines, broken))
+                    if "-" in text:
+                        total.update(_COMPOUND.findall(text.lower()))
             if len(total) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], ["word", "n"])
                 total.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
-    return readings.select("page", "text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return titled.select("page", "text", "titles").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def anagram_hash(column: str) -> F.Column:
@@ -209,15 +243,44 @@ def corrections(counts: DataFrame) -> DataFrame:
 
     One confusion at a time, in one or two places of the word; or one sign for any letter.
     """
-    hashed = counts.filter("length(word) >= 3").withColumn("hash", anagram_hash("word"))
-    is_signed = F.col("word").rlike(f"[{_NOISE}]")
-    known = hashed.filter(~is_signed)
-    letters = _letter_corrections(known)
+    letters_only = "^[A-Za-z\u00c0-\u052f]+$"  # so far fifth powers are far from overflowing
+    hashed = counts.filter((F.length("word") >= 3) & F.col("word").rlike(letters_only)).withColumn("hash", anagram_hash("word"))
+    is_signed = F.col("word").rlike(f"^(?:[{_CYR}]+[{_NOISE}][{_CYR}]+|[{_LAT}]+[{_NOISE}][{_LAT}]+)$")
+    shown = shown_confusions(hashed)
+    # only confusions far less usual than the average one count for less
+    usual = sum(shown.values()) / len(shown) if shown else 1.0
+    pairs = dict.fromkeys(CONFUSIONS, 1.0) | {k: min(1.0, 4 * v / usual) for k, v in shown.items()}
+    letters = _letter_corrections(hashed, pairs)
     # what is itself misread mends nothing
-    sound = known.join(letters.select(F.col("wrong").alias("word")), "word", "left_anti")
+    sound = hashed.join(letters.select(F.col("wrong").alias("word")), "word", "left_anti")
     return letters.unionByName(_sign_corrections(sound, counts.filter(is_signed)))
 
 
+def shown_confusions(known: DataFrame) -> dict[tuple[str, str], float]:
+    """(letter, misread as) and how usual that is, as a part of the letter's places in frequent words: pairs of letters by which at least ``SHOWN`` rare words differ from a far more frequent word
+    in one place, neither of the last two. At most the square of the letters of the two scripts."""
+    inner = F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.struct(F.concat(F.substr("word", F.lit(1), i - 1), F.lit("*"), F.substr("word", i + 1)).alias("rest"), F.substr("word", i, F.lit(1)).alias("letter")))
+    places = known.filter("length(word) >= 4").select("word", "n", F.explode(inner).alias("x")).select("word", "n", "x.*")
+    right = places.filter(f"n >= {RATIO}").select("rest", F.col("n").alias("n_right"), F.col("letter").alias("right_letter"))
+    # of the words that share all but one letter only the most frequent can be what the others stand for
+    right = right.groupBy("rest").agg(F.max(F.struct("n_right", "right_letter")).alias("r")).select("rest", "r.*")
+    pairs = places.join(right, "rest").filter(f"letter <> right_letter and n_right >= {RATIO} * n")
+    shown = pairs.groupBy("right_letter", "letter").agg(F.countDistinct("word").alias("shown")).filter(f"shown >= {SHOWN}")
+    letters = right.groupBy("right_letter").agg(F.count("*").alias("places"))
+    return {(r[0], r[1]): r[2] for r in shown.join(letters, "right_letter").select("right_letter", "letter", F.col("shown") / F.col("places")).sort("right_letter", "letter").collect()}
+
+
+def kept_hyphens(counts: DataFrame) -> DataFrame:
+    """(wrong, right) of words broken over a line end that are written with a hyphen inside lines more often than
+    without: the halves with a not sign between, and with the hyphen."""
+    halves = F.split("word", "¬")
+    broken = counts.filter(F.contains("word", F.lit("¬"))).select(F.col("word").alias("wrong"), F.col("n").alias("broken"), F.concat_ws("-", halves).alias("right"), F.concat_ws("", halves).alias("whole"))
+    with_hyphen = counts.filter(F.contains("word", F.lit("-"))).select(F.col("word").alias("right"), F.col("n").alias("n_right"))
+    whole = counts.select(F.col("word").alias("whole"), F.col("n").alias("n_whole"))
+    # the joined forms of broken words are among the counts of whole words
+    return broken.join(with_hyphen, "right").join(whole, "whole", "left").filter("n_right > greatest(coalesce(n_whole, 0) - broken, 0)").select("wrong", "right")
+
+
 def _sign_corrections(known: DataFrame, signed: DataFrame) -> DataFrame:
     """(wrong, right, at) of words with one sign for a letter: the most frequent word that has a letter in its place, but
     the letter that the sign looks like first."""
@@ -235,11 +298,12 @@ def _sign_corrections(known: DataFrame, signed: DataFrame) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("wrong", "right", F.col("at").cast("int").alias("at"))
 
 
-def _letter_corrections(known: DataFrame) -> DataFrame:
-    # a fixed list, of which each word takes the confusions whose letter it has
-    rows = [(a, b, k * (ord(b) ** 5 - ord(a) ** 5), k) for a, b in CONFUSIONS for k in (1, 2)]
-    names = ("right_letter", "wrong_letter", "difference", "places")
-    listed = F.array(*(F.struct(*(F.lit(v).cast("bigint" if i == 2 else "string" if i < 2 else "int").alias(n) for i, (n, v) in enumerate(zip(names, r, strict=True)))) for r in rows))
+def _letter_corrections(known: DataFrame, pairs: dict[tuple[str, str], float]) -> DataFrame:
+    """Corrections by the confusions of ``pairs``, ranked by how frequent the word and how usual the confusion is."""
+    # each word takes the confusions whose letter it has
+    rows = [(a, b, k * (ord(b) ** 5 - ord(a) ** 5), k, usual) for (a, b), usual in pairs.items() for k in (1, 2)]
+    names = ("right_letter", "wrong_letter", "difference", "places", "usual")
+    listed = F.array(*(F.struct(*(F.lit(v).cast(("string", "string", "bigint", "int", "double")[i]).alias(n) for i, (n, v) in enumerate(zip(names, r, strict=True)))) for r in rows))
     has = lambda x: F.length("wrong") - F.length(F.replace("wrong", x["wrong_letter"], F.lit(""))) >= x["places"]
     wrong = known.select(F.col("word").alias("wrong"), F.col("n").alias("n_wrong"), F.col("hash").alias("wrong_hash"))
     wrong = wrong.select("*", F.explode(F.filter(listed, has)).alias("c")).select("wrong", "n_wrong", "wrong_hash", "c.*")
@@ -254,24 +318,23 @@ def _letter_corrections(known: DataFrame) -> DataFrame:
         .filter(F.forall("differs", lambda x: x.isNull() | (x == F.concat(F.col("right_letter"), F.col("wrong_letter")))))
         .withColumn("at", F.array_position(F.transform("differs", lambda x: x.isNotNull()), F.lit(True)))
     )
-    best = Window.partitionBy("wrong").orderBy(F.desc("n_right"), "places", "right")
+    best = Window.partitionBy("wrong").orderBy((F.col("n_right") * F.col("usual")).desc(), "places", "right")
     return found.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("wrong", "right", F.col("at").cast("int").alias("at"))
 
 
-def _scan(readings: DataFrame, frequent: frozenset[str]) -> DataFrame:
+def _scan(titled: DataFrame, frequent: frozenset[str], halves: bool = False) -> DataFrame:
     """Rows of two sorts: (reading_id, line_no, kind) of noise that shows itself, and words to be looked up; those with a
-    sign for a letter have no line_no, for their lines are among the first."""
-    spark = readings.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
+    sign for a letter have no line_no, for their lines are among the first. ``halves``: broken words are looked up too."""
+    shared = titled.sparkSession.sparkContext.broadcast(frequent)
 
     def scan(batches):
         known = shared.value
         for batch in batches:
             out: list[tuple] = []
-            for rid, page, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for rid, page, text, titles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not text:
                     continue
-                (lines, kind, broken), noisy, stray = _sheet(text, page)
+                (lines, kind, broken), noisy, stray = _sheet(text, page, titles)
                 for i, k in enumerate(kind):
                     if k in ("header", "page_number"):
                         out.append((rid, i + 1, k, None, None, None))
@@ -280,7 +343,7 @@ def _scan(readings: DataFrame, frequent: frozenset[str]) -> DataFrame:
                 out += [(rid, i + 1, "misread", None, None, None) for i in direct]
                 signed: list[str] = []
                 words = set(body_words(lines, kind, broken, noisy, signed))
-                out += [(rid, None, None, w, None, None) for w in set(signed)]
+                out += [(rid, None, None, w, None, None) for w in {*signed, *(_halves(lines, broken) if halves else ())}]
                 if not any(len(w) > 2 for w in words.difference(known)):
                     continue
                 for a, b, head, w in words_of(lines, kind, broken, noisy):
@@ -290,23 +353,26 @@ def _scan(readings: DataFrame, frequent: frozenset[str]) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["reading_id", "line_no", "kind", "word", "next_line", "head"])
 
-    kept = readings.filter("reading_id is not null").select(F.col("reading_id").cast("bigint").alias("reading_id"), "page", "text")
-    return kept.mapInArrow(scan, "reading_id bigint, line_no bigint, kind string, word string, next_line bigint, head int")
+    return titled.mapInArrow(scan, "reading_id bigint, line_no bigint, kind string, word string, next_line bigint, head int")
+
+
+def _corrected(titled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(counts, corrections), both written to the shared folder."""
+    counts = cut(_counted(titled))
+    return counts, cut(corrections(counts))
 
 
-def _prepared(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(scanned rows, corrections), both written to the shared folder."""
-    counts = cut(word_counts(readings))
-    fixes = cut(corrections(counts))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+def _frequent(counts: DataFrame, fixes: DataFrame) -> frozenset[str]:
+    total = counts.filter("not word rlike '[¬-]'").agg(F.sum("n")).first()[0] or 0
     common = counts.filter(F.col("n") >= max(1, FREQUENT * total)).join(fixes.select(F.col("wrong").alias("word")), "word", "left_anti")
-    frequent = frozenset(r[0] for r in common.select("word").collect())  # at most 1 / FREQUENT words
-    return cut(_scan(readings, frequent)), fixes
+    return frozenset(r[0] for r in common.select("word").collect())  # at most 1 / FREQUENT words of each sort
 
 
 def noisy_lines(readings: DataFrame) -> DataFrame:
     """(reading_id, line_no, kind) of every noisy line, distinct."""
-    scanned, fixes = _prepared(readings)
+    titled = _with_titles(readings, key=True)
+    counts, fixes = _corrected(titled)
+    scanned = cut(_scan(titled, _frequent(counts, fixes)))
     shown = scanned.filter("kind is not null").select("reading_id", "line_no", "kind")
     line = F.when(F.col("next_line").isNotNull() & (F.col("at") > F.col("head")), F.col("next_line")).otherwise(F.col("line_no"))
     looked_up = scanned.filter("word is not null and line_no is not null").join(fixes, F.col("word") == F.col("wrong")).select("reading_id", line.alias("line_no"), F.lit("misread").alias("kind"))
@@ -329,29 +395,43 @@ def repair_word(word: str, fixes: dict[str, str]) -> str:
     return "".join(b if a == c else (b.upper() if a.isupper() else b) for a, b, c in zip(word, right, low, strict=True))
 
 
-def repair(text: str | None, page: str | None, fixes: dict[str, str] | None) -> str | None:
+def _mend_stray(line: str) -> str:
+    """A short word of Latin look-alikes among Cyrillic words, made Cyrillic, as ``direct_misreadings`` finds it."""
+    plain = _MARK.sub(" ", line)
+    found = [m[0] for m in _STRAY.finditer(plain) if not _ROMAN.fullmatch(m[0])]
+    if not found or len(_LETTERS.findall(plain)) <= 8 or len(re.findall(rf"[{_LAT}]", plain)) != sum(map(len, found)):
+        return line
+    like = lambda c: IN_CYRILLIC[c] if c in IN_CYRILLIC else IN_CYRILLIC[c.lower()].upper()
+    return _STRAY.sub(lambda m: m[0] if _ROMAN.fullmatch(m[0]) else "".join(map(like, m[0])), line)
+
+
+def repair(text: str | None, page: str | None, fixes: dict[str, str] | None, titles: list[str] | None = None) -> str | None:
     """Continuous paragraphs: no running titles and page numbers, broken words joined, misread words mended.
 
     A blank line, a mark, a table row, a heading or a line that ends a sentence well before the usual width ends a paragraph.
     """
     if text is None:
         return None
-    fixes = fixes or {}
+    fixes = fixes if fixes is not None else {}
     lines = text.split("\n")
-    kind = kinds(lines, page_number(page))
+    kind = kinds(lines, page_number(page), frozenset(titles or ()))
     broken = joins(lines, kind)
     kept = [i for i in range(len(lines)) if kind[i] not in ("header", "page_number")]
     width = sorted(len(lines[i]) for i in kept if lines[i].strip())
     usual = width[len(width) * 3 // 4] if width else 0
+    stray = _STRAY.search(text) is not None and _LETTERS.search(text) is not None
     paragraphs, current = [], ""
     for i in kept:
         line = lines[i].strip()
+        if stray and _STRAY.search(line):
+            line = _mend_stray(line)
         if not line or line[0] == "|" or kind[i] == "sum":
             paragraphs += [x for x in (current, line) if x]
             current = ""
             continue
         if i in broken:
-            current += line.rstrip(BREAKS + " ")
+            halves = _halves(lines, {i: broken[i]})
+            current += line.rstrip(BREAKS + " ") + "-" * (bool(halves) and halves[0] in fixes)
             continue
         current += line
         if line[-1] in ".!?…»" and len(line) < 0.75 * usual:
@@ -374,16 +454,33 @@ def repair(text: str | None, page: str | None, fixes: dict[str, str] | None) ->
     return _TOKEN.sub(mend, joined)
 
 
-def repaired(readings: DataFrame) -> DataFrame:
-    """(reading_id, repaired): every distinct reading's text as readable paragraphs; null stays null."""
-    scanned, fixes = _prepared(readings)
+def repaired(readings: DataFrame, shared: int = SHARED_ROWS) -> DataFrame:
+    """(reading_id, repaired): every distinct reading's text as readable paragraphs; null stays null.
+
+    Up to ``shared`` corrections go to all tasks, and each text is mended where it is read. Beyond that, the words of
+    each reading are looked up by a join, and its corrections are joined to its text.
+    """
+    titled = _with_titles(readings, key=True)
+    counts, found = _corrected(titled)
+    fixes = cut(found.select("wrong", "right").unionByName(kept_hyphens(counts)))
+    texts = once(titled, "reading_id")
+    schema = "reading_id bigint, repaired string"
+    if fixes.limit(shared + 1).count() <= shared:
+        known = readings.sparkSession.sparkContext.broadcast({r["wrong"]: r["right"] for r in fixes.collect()})
+
+        def mend(batches):
+            for batch in batches:
+                rows = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([repair(text, page, known.value, titles) for page, text, titles in rows], pa.string())], ["reading_id", "repaired"])
+
+        return texts.mapInArrow(mend, schema)
+    scanned = cut(_scan(titled, _frequent(counts, found), halves=True))
     mine = scanned.filter("word is not null").join(fixes, F.col("word") == F.col("wrong")).groupBy("reading_id").agg(F.collect_set(F.struct("wrong", "right")).alias("fixes"))
-    texts = readings.filter("reading_id is not null").select(F.col("reading_id").cast("bigint").alias("reading_id"), "page", "text").distinct()
 
-    def mend(batches):
+    def mend_joined(batches):
         for batch in batches:
-            rid, page, text, fix = (c.to_pylist() for c in batch.columns)
-            out = [repair(t, p, {x["wrong"]: x["right"] for x in f or []}) for p, t, f in zip(page, text, fix, strict=True)]
+            rows = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
+            out = [repair(text, page, {x["wrong"]: x["right"] for x in fix or []}, titles) for page, text, titles, fix in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["reading_id", "repaired"])
 
-    return texts.join(mine, "reading_id", "left").select("reading_id", "page", "text", "fixes").mapInArrow(mend, "reading_id bigint, repaired string")
+    return texts.join(mine, "reading_id", "left").select("reading_id", "page", "text", "titles", "fixes").mapInArrow(mend_joined, schema)

@@ -148,3 +148,46 @@ def test_the_fit_decides_where_the_ending_does_not(spark):
     assert len(at_limit) > 20 < len(elsewhere) and at_limit <= found and not elsewhere & found
     unfitted = {r[0] for r in truncation.truncation(df, fitted=False).filter("is_cut").collect()}
     assert (at_limit <= unfitted) == (elsewhere <= unfitted)  # without the fit the two are told apart no more
+
+
+def test_titles_in_wordings_of_their_own(spark):
+    """A line at the top of many sheets of one file is a running title, whatever it says; elsewhere it is body."""
+    from papyrine.llm import titles
+
+    rng = random.Random(10)
+    body = lambda: "\n".join(sentence(rng) for _ in range(4))
+    data = [(i, "m", f"{i + 1:03}", f"Дневник опытов {i + 1}\n{body()}\nК. Мельцов", "1", "0007") for i in range(12)]
+    data += [(100 + i, "m", f"{i + 1:03}", f"{'Дневник опытов' if i == 3 else 'Начало главы ' + chr(1072 + i)}\n{body()}", "1", "0008") for i in range(12)]
+    data += [(200, "m", "001", None, "1", "0007"), (201, None, None, "Дневник опытов\nДа.", None, None)]
+    df = spark.createDataFrame(data, "reading_id bigint, model string, page string, text string, opis_code string, delo string")
+    found = titles.running_titles(df).collect()
+    assert [(r.opis_code, r.delo, r.titles) for r in found] == [("1", "0007", ["дневникопытов"])]
+    noisy = {(r.reading_id, r.line_no) for r in scan_noise.noisy_lines(df).filter("kind = 'header'").collect()}
+    assert noisy == {(i, 1) for i in range(12)}
+    mended = {r.reading_id: r.repaired for r in scan_noise.repaired(df).collect()}
+    assert not any("Дневник" in mended[i] for i in range(12)) and "Дневник" in mended[103] and mended[200] is None
+    assert titles.running_titles(df.limit(0)).count() == 0
+    assert titles.with_titles(df.select("reading_id", "text"), ["reading_id"]).filter("titles is not null").count() == 0
+
+
+def test_hyphens_signs_and_other_scripts(spark, rows):
+    """Hyphens of broken words are kept by counts; stray Latin letters are mended; words of other scripts do no harm."""
+    plain = "Кое-кто вышел из-за стола. Тонкий рычаг держит груз в доме с окном."
+    data = [(i, "m", "004", f"{plain} {plain}", None, None) for i in range(30)]
+    data += [(100, "m", "004", "Он вышел из-\nза стола и кое-\nкто видел тон-\nкий рычаг.", None, None), (101, "m", "004", "中文字 한국어 𐍈𐌰𐌽 рычаг.", None, None)]
+    data += [(102, "m", "004", "Тонкий рычаг держит груз в доме c окном.", None, None), (103, "m", "004", "Тонкий ры^аг стоит.", None, None)]
+    df = spark.createDataFrame(data, SCHEMA)
+    expected = {100: "Он вышел из-за стола и кое-кто видел тонкий рычаг.", 101: "中文字 한국어 𐍈𐌰𐌽 рычаг.", 102: "Тонкий рычаг держит груз в доме с окном.", 103: "Тонкий рычаг стоит."}
+    for shared in (1000, 0):  # corrections shared with the tasks, and joined
+        got = {r.reading_id: r.repaired for r in scan_noise.repaired(df.unionByName(df.filter("reading_id = 100")), shared).collect()}
+        assert {k: got[k] for k in expected} == expected and len(got) == 34
+    assert (102, 1, "misread") in rows(scan_noise.noisy_lines(df))
+
+
+def test_confusions_that_the_corpus_shows(spark):
+    """A pair of letters that no list knows is learned from the rare words that show it."""
+    words = [f"{a}ж{b}ный" for a in ("бума", "доро", "кни", "стра") for b in ("ост", "ел")]
+    counts = [(w, 4000) for w in words] + [(w.replace("ж", "х"), 3) for w in words[:6]] + [("中文字中文字", 9)]
+    frame = spark.createDataFrame(counts, "word string, n bigint")
+    fixes = {r.wrong: r.right for r in scan_noise.corrections(frame).collect()}
+    assert fixes == {w.replace("ж", "х"): w for w in words[:6]}
