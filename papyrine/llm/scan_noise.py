@@ -57,6 +57,7 @@ RATIO = 20
 
 _FORMULA = re.compile(r"\[(?:формула|formula)[^\]]*\]", re.I)
 _BREAK = re.compile(r"[^\W\d_][" + re.escape(BREAKS) + r"][ \t]*$")
+_BREAK_SIGNS = frozenset(BREAKS)
 _WORD = re.compile(r"[^\W\d_]+")
 _WORD_END = re.compile(r"([^\W\d_]+)[" + re.escape(BREAKS) + r"][ \t]*$")
 _WORD_START = re.compile(r"[^\W\d_]+")
@@ -74,7 +75,7 @@ _SIGNED = re.compile(rf"{_ANY}+[{_NOISE}]{_ANY}+")
 # letters that a sign may stand for, by script
 _LETTERS_OF = {_CYR: "абвгдеёжзийклмнопрстуфхцчшщъыьэюяіѣѳѵ", _LAT: "abcdefghijklmnopqrstuvwxyzàâäæçèéêëîïôöœùûüß"}
 _TOKEN = re.compile(rf"(?:[^\W_]|(?<=[^\W_])[{_NOISE}](?=[^\W_]))+")
-_COMPOUND = re.compile(rf"{_ANY}+(?:-{_ANY}+)+")
+_COMPOUND = re.compile(rf"-(?<={_ANY}.){_ANY}+")
 _STRAY = re.compile(r"[aceopxyAEOPCTXKMHB](?<![^\W_'’-].)[aceopxyAEOPCTXKMHB]{0,2}(?![^\W_'’-])")
 _ROMAN = re.compile(r"[IVXLCDM]+")
 _MARK = re.compile(r"\[(?:[^\[\]]|\[[^\[\]]*\])*\]")
@@ -91,7 +92,8 @@ def joins(lines: list[str], kind: list[str], strict: bool = True) -> dict[int, i
     out = {}
     n = len(lines)
     for i in range(n - 1):
-        if kind[i] or not lines[i] or not _BREAK.search(lines[i][-6:]):
+        line = lines[i]
+        if kind[i] or not line or line.rstrip(" \t")[-1:] not in _BREAK_SIGNS or not _BREAK.search(line[-6:]):
             continue
         j = i + 1
         while j < n and (kind[j] in ("header", "page_number") or not lines[j].strip()):
@@ -145,7 +147,18 @@ def body_words(lines: list[str], kind: list[str], broken: dict[int, int], noisy:
                 signed.append(t.lower())
             return " "
 
-        body = _TOKEN.sub(keep, body)
+        # only the stretches between spaces in which something shows
+        out, last = [], 0
+        for m in _DIRECT.finditer(body):
+            at = m.start()
+            if at < last:
+                continue
+            start = max(body.rfind(" ", 0, at), body.rfind("\n", 0, at), last - 1) + 1
+            ends = [k for k in (body.find(" ", at + 1), body.find("\n", at + 1)) if k >= 0]
+            stop = min(ends) if ends else len(body)
+            out += [body[last:start], _TOKEN.sub(keep, body[start:stop])]
+            last = stop
+        body = "".join([*out, body[last:]])
     return _WORD.findall(body.lower())
 
 
@@ -196,6 +209,17 @@ def _halves(lines: list[str], broken: dict[int, int]) -> list[str]:
     return out
 
 
+def _compounds(text: str) -> list[str]:
+    """Words of two parts with a hyphen between, in lower case."""
+    out = []
+    for m in _COMPOUND.finditer(text):
+        k = m.start()
+        while k and text[k - 1].isalpha():
+            k -= 1
+        out.append(text[k : m.end()].lower())
+    return out
+
+
 def _with_titles(readings: DataFrame, key: bool = False) -> DataFrame:
     """page, text and titles of the readings; ``key``: reading_id first, rows without one left out."""
     if key:
@@ -204,8 +228,8 @@ def _with_titles(readings: DataFrame, key: bool = False) -> DataFrame:
 
 
 def word_counts(readings: DataFrame) -> DataFrame:
-    """(word, n) over all sheets; among them words with one sign for a letter, words with hyphens inside a line, and
-    words broken over a line end (with a not sign). Each task adds its words up before anything is shuffled."""
+    """(word, n) over all sheets; among them words with one sign for a letter and words with a hyphen inside a line.
+    Each task adds its words up before anything is shuffled."""
     return _counted(_with_titles(readings))
 
 
@@ -220,10 +244,7 @@ def _counted(titled: DataFrame) -> DataFrame:
                     signed: list[str] = []
                     total.update(body_words(lines, kind, broken, noisy, signed)[:-1])  # the last word may be cut
                     total.update(signed)
-                    if broken:
-                        total.update(_halves(lines, broken))
-                    if "-" in text:
-                        total.update(_COMPOUND.findall(text.lower()))
+                    total.update(_compounds(text))
             if len(total) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], ["word", "n"])
                 total.clear()
@@ -271,14 +292,12 @@ def shown_confusions(known: DataFrame) -> dict[tuple[str, str], float]:
 
 
 def kept_hyphens(counts: DataFrame) -> DataFrame:
-    """(wrong, right) of words broken over a line end that are written with a hyphen inside lines more often than
-    without: the halves with a not sign between, and with the hyphen."""
-    halves = F.split("word", "¬")
-    broken = counts.filter(F.contains("word", F.lit("¬"))).select(F.col("word").alias("wrong"), F.col("n").alias("broken"), F.concat_ws("-", halves).alias("right"), F.concat_ws("", halves).alias("whole"))
+    """(wrong, right) of words that are written with a hyphen inside lines more often than without (words broken over a
+    line end count among the latter): the halves with a not sign between, and with the hyphen."""
     with_hyphen = counts.filter(F.contains("word", F.lit("-"))).select(F.col("word").alias("right"), F.col("n").alias("n_right"))
     whole = counts.select(F.col("word").alias("whole"), F.col("n").alias("n_whole"))
-    # the joined forms of broken words are among the counts of whole words
-    return broken.join(with_hyphen, "right").join(whole, "whole", "left").filter("n_right > greatest(coalesce(n_whole, 0) - broken, 0)").select("wrong", "right")
+    named = with_hyphen.withColumns({"wrong": F.replace("right", F.lit("-"), F.lit("¬")), "whole": F.replace("right", F.lit("-"), F.lit(""))})
+    return named.join(whole, "whole", "left").filter("n_right > coalesce(n_whole, 0)").select("wrong", "right")
 
 
 def _sign_corrections(known: DataFrame, signed: DataFrame) -> DataFrame:
@@ -363,7 +382,7 @@ def _corrected(titled: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _frequent(counts: DataFrame, fixes: DataFrame) -> frozenset[str]:
-    total = counts.filter("not word rlike '[¬-]'").agg(F.sum("n")).first()[0] or 0
+    total = counts.filter("not contains(word, '-')").agg(F.sum("n")).first()[0] or 0
     common = counts.filter(F.col("n") >= max(1, FREQUENT * total)).join(fixes.select(F.col("wrong").alias("word")), "word", "left_anti")
     return frozenset(r[0] for r in common.select("word").collect())  # at most 1 / FREQUENT words of each sort
 

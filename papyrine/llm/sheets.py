@@ -82,9 +82,11 @@ def kinds(lines: list[str], page: int | None = None, running: frozenset[str] = f
     n = len(lines)
     out = [""] * n
     full = [i for i in range(n) if lines[i].strip()]
-    hinted = any(_HINT.search(lines[i]) for i in full if len(lines[i]) <= 100)
+    hinted = _HINT.search("\n".join(lines)) is not None
     for i in full:
-        if is_title(lines, i, running, hinted):
+        line = lines[i]
+        # most lines are neither short capitals nor letter-spaced, and need no closer look
+        if (hinted or running or line.isupper() or line.count(" ") * 2 + 3 >= len(line)) and is_title(lines, i, running, hinted):
             out[i] = "header"
     for i in full:
         if lines[i].lstrip()[:1] in "ИВTSивt" and TOTAL.fullmatch(lines[i].strip()):

@@ -21,24 +21,23 @@ FILE = ("opis_code", "delo")
 #: A title stands on this many pages of its file at least, and on this share of them: at the top, or at the bottom, where
 #: signatures recur as well.
 PAGES, TOP, BOTTOM = 3, 0.2, 0.6
-#: How many lines from either edge are looked at.
-EDGE = 2
+#: How many lines from either edge are looked at; of these, the first with a word in it.
+EDGE = 3
 #: A line that may be a title: short, begins with a capital or a number, no sentence, table row, mark, signature or date.
 _MAY_BE = r"^(?=.{6,100}$)[\W\d]*\p{Lu}[^|\[\]«»]*[^.!?…,;:|\[\]\-‐‑¬=]$"
-_IS_ELSE = r"^\p{L}\.\s*(?:\p{L}\.\s*)?\p{Lu}\S*$|\d{1,2}\s+\p{L}+\s+1[5-9]\d\d|^(?i:итого|всего|total|summe|somme)\b"
+# signatures, dates, totals; titles that show themselves by wording or setting
+_IS_ELSE = r"(?iu:д[eе]л[oо0]\s|вып\.|ч[aа][cс]ть\s+[ivx])|^\P{Ll}+$|^\W*(?:\p{L} +){4,}|^\p{L}\.\s*(?:\p{L}\.\s*)?\p{Lu}\S*$|\d{1,2}\s+\p{L}+\s+1[5-9]\d\d|^(?i:итого|всего|total|summe|somme)\b"
 
 
 def running_titles(readings: DataFrame) -> DataFrame:
     """(opis_code, delo, titles): skeletons of titles that ``sheets.is_title`` does not know by itself."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    edge = lambda start, place: F.transform(F.slice("lines", start, EDGE), lambda x: F.struct(x.alias("line"), F.lit(place).alias("place")))
-    both = F.concat(edge(1, "top"), F.when(F.size("lines") > EDGE, edge(-EDGE, "bottom")).otherwise(F.array().cast("array<struct<line:string,place:string>>")))
+    # only the ends of a text are split into lines
+    top, bottom = (F.get(F.filter(F.split(F.substring_index("text", "\n", k), "\n"), lambda x: x.rlike(r"\p{L}{3}")), F.lit(0)) for k in (EDGE, -EDGE))
     rows = (
-        readings.filter("text is not null and page is not null and opis_code is not null and delo is not null")
-        .select(*FILE, "page", lines.alias("lines"))
-        .filter("size(lines) > 1")
-        .select(*FILE, "page", F.explode(both).alias("x"))
-        .select(*FILE, "page", "x.line", "x.place")
+        readings.filter("contains(text, '\n') and page is not null and opis_code is not null and delo is not null")
+        .select(*FILE, "page", top.alias("top"), bottom.alias("bottom"))
+        .select(*FILE, "page", F.expr("stack(2, top, 'top', bottom, 'bottom') as (line, place)"))
+        .withColumn("line", F.trim("line"))
         .filter(F.col("line").rlike(_MAY_BE) & ~F.col("line").rlike(_IS_ELSE))
     )
     letters = F.lower(F.regexp_replace("line", r"\P{L}", ""))
