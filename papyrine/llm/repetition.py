@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.llm.sheets import kinds, page_number
+from papyrine.llm.titles import with_titles
 from papyrine.session import cut
 
 #: The share of repeated words from which on a text counts as repeating itself; the functions on shares vote by it.
@@ -47,16 +48,16 @@ _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?…]+|\n")
 _STOP = frozenset(".!?…")
 
 
-def body_text(text: str, page: int | None = None) -> str:
+def body_text(text: str, page: int | None = None, titles: list[str] | None = None) -> str:
     """The body of a sheet: lines without running titles, page numbers, sums and table rows; broken words joined."""
     lines = text.split("\n")
-    kept = [x for x, k in zip(lines, kinds(lines, page), strict=True) if not k and not x.lstrip().startswith("|")]
+    kept = [x for x, k in zip(lines, kinds(lines, page, frozenset(titles or ())), strict=True) if not k and not x.lstrip().startswith("|")]
     return _BROKEN.sub("", "\n".join(kept))
 
 
-def units(text: str, page: int | None = None) -> tuple[list[str], list[tuple[int, int]], list[tuple[int, int]]]:
+def units(text: str, page: int | None = None, titles: list[str] | None = None) -> tuple[list[str], list[tuple[int, int]], list[tuple[int, int]]]:
     """(words, sentences as (from, to) of words, lines likewise)."""
-    body = body_text(text, page)
+    body = body_text(text, page, titles)
     if "[?]" in body:
         body = _DOUBT.sub("", body)
     body = _ITEM.sub("", body).lower()
@@ -139,16 +140,16 @@ def _recurring(codes: np.ndarray, owner: np.ndarray, width: int, texts: int) ->
 Measured = tuple[int, float | None, float | None, float | None, float | None, float | None, float | None, float | None]
 
 
-def measure(texts: list[str | None], pages: list[int | None]) -> list[Measured]:
+def measure(texts: list[str | None], pages: list[int | None], titles: list[list[str] | None] | None = None) -> list[Measured]:
     """For each text (words, repeated share, the shares by sentences, lines, passages and loops, packed size, share of
     words that came before)."""
     empty = (0, *[None] * 7)
     out: list[Measured] = [empty] * len(texts)
     index: dict[str, int] = {}
     read = []
-    for k, (text, page) in enumerate(zip(texts, pages, strict=True)):
+    for k, (text, page, running) in enumerate(zip(texts, pages, titles or [None] * len(texts), strict=True)):
         if text is not None and text.strip():
-            words, sentences, lines = units(text, page)
+            words, sentences, lines = units(text, page, running)
             if words:
                 read.append((k, words, sentences, lines, np.array([index.setdefault(w, len(index)) for w in words])))
     if not read:
@@ -193,15 +194,15 @@ def with_shares(readings: DataFrame) -> DataFrame:
 
     def measured(batches):
         for batch in batches:
-            rows = measure(batch.column(2).to_pylist(), [page_number(p) for p in batch.column(1).to_pylist()])
+            rows = measure(batch.column(2).to_pylist(), [page_number(p) for p in batch.column(1).to_pylist()], batch.column(3).to_pylist())
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_NAMES)
             arrays = [pa.array(c, pa.int64() if k == 0 else pa.float64()) for k, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["reading_id", *_NAMES])
 
-    kept = readings.select("reading_id", "page", "text").filter("reading_id is not null")
+    kept = readings.filter("reading_id is not null").withColumn("reading_id", F.col("reading_id").cast("bigint"))
     schema = "reading_id bigint, words bigint, " + ", ".join(f"{c} double" for c in _NAMES[1:])
     # the texts stay where they are; only the numbers of rows delivered twice are shuffled
-    return kept.withColumn("reading_id", F.col("reading_id").cast("bigint")).mapInArrow(measured, schema).distinct()
+    return with_titles(kept, ["reading_id", "page", "text"]).mapInArrow(measured, schema).distinct()
 
 
 def _votes() -> F.Column:

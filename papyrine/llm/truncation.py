@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.llm.sheets import BARE, MARK, TOTAL, kinds, page_number
+from papyrine.llm.titles import with_titles
 from papyrine.session import cut
 
 _END = re.compile(r"[.!?…][»”\"')\]]*$")
@@ -71,12 +72,12 @@ AROUND = 40
 TAIL = 10
 
 
-def ending(text: str | None, page: int | None = None) -> tuple[int, int, str, str | None, str | None] | None:
+def ending(text: str | None, page: int | None = None, titles: list[str] | None = None) -> tuple[int, int, str, str | None, str | None] | None:
     """(characters and bytes up to the end of the body, evidence, kind and text of a tail to compare), or None."""
     if text is None or not text.strip():
         return None
     lines = text.split("\n")
-    kind = kinds(lines, page)
+    kind = kinds(lines, page, frozenset(titles or ()))
     body = [i for i, x in enumerate(lines) if x.strip() and kind[i] not in ("header", "page_number")]
     if not body:
         return None
@@ -155,12 +156,13 @@ def endings(readings: DataFrame) -> DataFrame:
 
     def measure(batches):
         for batch in batches:
-            rows = [ending(t, page_number(p)) or (None,) * 5 for t, p in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            read = zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            rows = [ending(t, page_number(p), running) or (None,) * 5 for t, p, running in read]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["reading_id", "model", *names])
 
-    kept = readings.filter("reading_id is not null").select(F.col("reading_id").cast("bigint").alias("reading_id"), "model", "page", "text")
-    return kept.mapInArrow(measure, "reading_id bigint, model string, chars bigint, bytes bigint, evidence string, tail_kind string, tail string").distinct()
+    kept = readings.filter("reading_id is not null").withColumn("reading_id", F.col("reading_id").cast("bigint"))
+    return with_titles(kept, ["reading_id", "model", "page", "text"]).mapInArrow(measure, "reading_id bigint, model string, chars bigint, bytes bigint, evidence string, tail_kind string, tail string").distinct()
 
 
 def _cut_tails(table: DataFrame) -> DataFrame:
