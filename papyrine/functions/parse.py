@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papyrine.functions.vocabulary import GLOSSES
+
 # Labels of a run-on name, in order.
 NAME_LABELS = ["Вид материала:", "Способ воспроизведения:", "Языки:", "Язык:", "Крайние даты:"]
 # Month stems in the order they are looked for (март before ма).
-MONTHS = [("янв", 1), ("фев", 2), ("мар", 3), ("апр", 4), ("ма", 5), ("июн", 6), ("июл", 7), ("авг", 8), ("сен", 9), ("окт", 10), ("ноя", 11), ("дек", 12)]
-# Glosses of material, way of reproduction and language.
-GLOSSES = {
-    "материал": {"рукопись": "manuscript", "письмо": "letter", "статья": "article", "черновик": "draft", "тетрадь": "notebook", "чертёж": "drawing", "расчёт": "calculation", "отчёт": "report", "рецензия": "review", "телеграмма": "telegram"},
-    "воспроизведение": {"автограф": "autograph", "машинопись": "typescript", "копия": "copy", "синька": "blueprint", "типографский оттиск": "print"},
-    "язык": {"русский": "Russian", "английский": "English", "немецкий": "German", "французский": "French"},
-}
+MONTHS = [("январ", 1), ("феврал", 2), ("март", 3), ("апрел", 4), ("ма", 5), ("июн", 6), ("июл", 7), ("август", 8), ("сентябр", 9), ("октябр", 10), ("ноябр", 11), ("декабр", 12)]
 
+# A scan's path: inventory, file number, page.
+SCAN_PATH = r"opis_([^/]+)/delo_(\d+[а-яёa-z]?)/(\d+)\.jpg"
+# A work in quotes.
+QUOTED = r'[«"]([^»"]{5,})[»"]'
 _STOPS = "|".join(NAME_LABELS)
 
 
@@ -52,13 +52,14 @@ def year_range(raw: Column) -> dict[str, Column]:
 
 
 def partial_date(raw: Column) -> tuple[Column, Column]:
-    """(array of year, month, day with 0 for unknown, precision 3, 2, 1) of the start of a date; nulls if there is none."""
-    head = F.lower(F.trim(F.split(raw, r"\s*-\s*", 2)[0]))
-    day = [F.regexp_extract(head, r"(\d{1,2})\.(\d{1,2})\.(1[89]\d\d)", k).try_cast("int") for k in (3, 2, 1)]
-    year = F.regexp_extract(head, r"(1[89]\d\d)", 1).try_cast("int")
+    """(array of year, month, day with 0 for unknown, precision 3, 2, 1) of the start of a date, up to the first hyphen;
+    nulls if there is none. A month is a word that begins with its stem."""
+    head = F.split(F.trim(raw), "-", 2)[0]
+    day = [F.regexp_extract(head, r"(?U)\b(\d{1,2})\.(\d{1,2})\.(1[89]\d\d)", k).try_cast("int") for k in (3, 2, 1)]
+    year = F.regexp_extract(head, r"(?U)\b(1[89]\d\d)", 1).try_cast("int")
     month = F.lit(0)
     for stem, number in reversed(MONTHS):
-        month = F.when(F.contains(head, F.lit(stem)), number).otherwise(month)
+        month = F.when(F.lower(head).rlike(rf"(?U)\b{stem}[а-я]*\b"), number).otherwise(month)
     is_day = day[0].isNotNull()
     ymd = F.when(is_day, F.array(*day)).when(year.isNotNull(), F.array(year, month, F.lit(0)))
     precision = F.when(is_day, 3).when(year.isNotNull() & (month > 0), 2).when(year.isNotNull(), 1)
@@ -73,7 +74,7 @@ def earlier_at_common_precision(a: Column, pa: Column, b: Column, pb: Column) ->
 
 def quoted_work(name: Column) -> Column:
     """The work a name quotes (five characters and more), in lower case with е for ё; null if there is none."""
-    return F.nullif(F.translate(F.lower(F.regexp_extract(name, r'[«"]([^»"]{5,})[»"]', 1)), "ё", "е"), F.lit(""))
+    return F.nullif(F.translate(F.lower(F.trim(F.regexp_extract(name, QUOTED, 1))), "ё", "е"), F.lit(""))
 
 
 def variant_number(name: Column) -> Column:
@@ -83,8 +84,7 @@ def variant_number(name: Column) -> Column:
 
 def path_parts(path: Column) -> dict[str, Column]:
     """Inventory, file and page of a scan's path."""
-    pattern = r"opis_([^/]+)/delo_(\d+[а-яёa-z]?)/(\d+)\.jpg"
-    return {n: F.regexp_extract(path, pattern, k) for k, n in enumerate(("path_opis", "path_delo", "path_page"), 1)}
+    return {n: F.regexp_extract(path, SCAN_PATH, k) for k, n in enumerate(("path_opis", "path_delo", "path_page"), 1)}
 
 
 def scan_path(opis: Column, delo: Column, page: Column) -> Column:
@@ -122,12 +122,92 @@ def seconds_until(reply: Column, now: Column, longest: int = 7200) -> Column:
     return F.when(hour == "", 0).when(wait > longest, 0).otherwise(wait)
 
 
+# What a title does not hold for comparison (field labels and all after them).
+TITLE_TAIL = r"вид материала[^\n]*|способ воспроизведения[^\n]*|языки[^\n]*"
+
+
+def comparable(text: Column, drop: str | None = None) -> Column:
+    """A title for comparison: lower case, е for ё, field labels and what follows gone, only letters, digits and single
+    spaces. ``drop``: a pattern of what else goes, such as an author's name in brackets."""
+    c = F.translate(F.lower(text), "ё", "е")
+    c = F.regexp_replace(c, drop, " ") if drop else c
+    c = F.regexp_replace(F.regexp_replace(c, TITLE_TAIL, " "), "[^а-яa-z0-9 ]", " ")
+    return F.trim(F.regexp_replace(c, " +", " "))
+
+
 def clean_title(name: Column) -> Column:
-    """A title for comparison: what quotes hold if there are any, without brackets, variant numbers and end signs."""
-    inner = F.regexp_extract(name, r'[«"]([^»"]+)[»"]', 1)
-    text = F.when(inner != "", inner).otherwise(F.split(name, _STOPS, 2)[0])
-    text = F.regexp_replace(F.regexp_replace(text, r"\[[^\]]*\]|\([^)]*\)", " "), r",?\s*\d-й вариант", "")
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(" .,;:"))
+    """``comparable`` of what a name has in straight quotes, of the whole name without any."""
+    quoted = F.regexp_extract(name, r'"([^"]+)"', 1)
+    return comparable(F.when(quoted != "", quoted).otherwise(name))
+
+
+def page_fields(html: Column, folder: str = r"[^/\\\\\"'> ]+", images: str = "/pageimages/") -> dict[str, Column]:
+    """Name, inventory, file number and scan links of a file's page.
+
+    The name stands between its label and the next one; the links are each taken once, in order of first appearance;
+    the folder of the first link that has one is inventory, an underscore and the file number."""
+    text = F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"(?U)\s+", " ")
+    name = F.trim(F.trim(F.trim(F.regexp_extract(text, r"Название: *(.+?)(?:Крайние даты|Количество (?:дел|листов)|Даты|$)", 1)), F.lit('"')))
+    links = F.array_distinct(F.regexp_extract_all(html, F.lit(rf"(?i){images}[^\"'> ]+?\.jpg"), F.lit(0)))
+    code = F.regexp_extract(F.array_join(links, " "), rf"{images}[^/\\ ]*\\({folder})/", 1)
+    return {
+        "name": name,
+        "opis_code": F.when(F.contains(code, F.lit("_")), F.substring_index(code, "_", 1)),
+        "delo_no": F.when(F.contains(code, F.lit("_")), F.regexp_replace(code, "^[^_]*_", "")),
+        "links": F.transform(links, lambda x: F.replace(x, F.lit("\\"), F.lit("%5C"))),
+    }
+
+
+def source_url(base: str, portal_id: Column) -> Column:
+    """The address of a card's page."""
+    return F.format_string(f"{base.replace('%', '%%')}/%d", portal_id)
+
+
+def inventory_label(opis: Column, code: Column) -> Column:
+    """An inventory's name, or its code for one that has none."""
+    return F.coalesce(opis, F.concat(F.lit("opis "), code))
+
+
+def is_number(c: Column) -> Column:
+    """Whether a text is nothing but digits; false for null."""
+    return F.coalesce(c.rlike(r"^[0-9]+$"), F.lit(False))
+
+
+# Stems of the topics that are looked at first.
+TOPICS = r"реактивн|ракет|космическ|звездоплав|мировых\s+пространств|небесных\s+пространств|вне\s+земли|эфирн|межпланетн|заатмосферн|тяготени|скорост"
+
+
+def on_topic(title: Column, topics: str = TOPICS) -> Column:
+    """Whether a title has one of the topics, whatever its case; false for null."""
+    return F.coalesce(title.rlike(f"(?iu){topics}"), F.lit(False))
+
+
+def has_all(c: Column, *parts: str) -> Column:
+    """Whether a text holds every part; false for null."""
+    out = F.lit(True)
+    for part in parts:
+        out = out & F.contains(c, F.lit(part))
+    return F.coalesce(out, F.lit(False))
+
+
+def translated(source: Column, target: Column) -> Column:
+    """Whether there is a translation that differs from the original; false for an empty one or null."""
+    return F.coalesce((target != "") & ~target.eqNullSafe(source), F.lit(False))
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with commas between groups of three digits."""
+    return F.format_number(n, 0)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """A share in whole percent, halves to the even number; null of nothing."""
+    return F.when(whole != 0, F.concat(F.bround(part * 100 / whole, 0).cast("int").cast("string"), F.lit("%")))
+
+
+def first_long_enough(a: Column, b: Column, least: int = 30) -> Column:
+    """The first text if it has at least ``least`` words, else the second."""
+    return F.when(F.regexp_count(a, F.lit(r"(?U)\S+")) >= least, a).otherwise(b)
 
 
 def order_keys(delo: Column) -> dict[str, Column]:

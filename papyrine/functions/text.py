@@ -47,10 +47,13 @@ def word_tokens(c: Column) -> Column:
     return F.filter(F.transform(words, lambda w: F.trim(fold_orthography(w))), lambda w: w != "")
 
 
+# Markup that the full-text index leaves out: marks, and lines of headings, of fields and of notes.
+INDEX_MARKUP = r"\[[^\]]*\]|~~|^#+[^\n]*|^\*\*[^\n]*|^>[^\n]*"
+
+
 def index_terms(c: Column) -> Column:
     """Terms of the full-text index: markup removed, lower case, runs of three letters and more, ё as е."""
-    c = F.regexp_replace(F.lower(c), r"\[[^\]]*\]|~~", " ")
-    c = F.regexp_replace(c, r"(?md)^[#>][^\n]*", " ")
+    c = F.regexp_replace(F.lower(c), f"(?dm){INDEX_MARKUP}", " ")
     return F.transform(F.regexp_extract_all(c, F.lit(r"[а-яёa-z]{3,}"), F.lit(0)), lambda w: F.translate(w, "ё", "е"))
 
 
@@ -112,14 +115,30 @@ def strip_html(c: Column) -> Column:
     return squeeze(F.regexp_replace(c, r"<[^>]+>", " "))
 
 
+# Classes of page elements that are no text.
+NO_TEXT_CLASSES = "reference|pagenum|ws-noexport|ws-summary"
+
+
 def strip_blocks(c: Column) -> Column:
-    """HTML without scripts, styles and tables and without tags, the common entities as characters."""
-    c = F.regexp_replace(c, r"(?is)<(script|style|table)\b.*?</\1>", " ")
+    """HTML without scripts, styles, tables, elements of the classes that are no text, and tags; entities as characters
+    (numeric ones of the basic plane, and the named ones that pages use)."""
+    c = F.regexp_replace(c, r"(?is)<(script|style|table)[^>]*>.*?</\1>", " ")
+    c = F.regexp_replace(c, rf'(?is)<(sup|span|div)[^>]*class="[^"]*(?:{NO_TEXT_CLASSES})[^"]*"[^>]*>.*?</\1>', " ")
     c = strip_html(c)
     # Entities that pages use.
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&laquo;", "«"), ("&raquo;", "»"), ("&mdash;", "—"), ("&amp;", "&")):
+    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&laquo;", "«"), ("&raquo;", "»"), ("&bdquo;", "„"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&shy;", "\u00ad")):
         c = F.replace(c, F.lit(entity), F.lit(sign))
-    return squeeze(c)
+    # numeric entities: the text between them stays, each number becomes its sign
+    numbers = F.transform(F.regexp_extract_all(c, F.lit(r"&#(\d{1,5}|[xX][0-9a-fA-F]{1,4});"), F.lit(1)), _entity)
+    between = F.split(c, r"&#(?:\d{1,5}|[xX][0-9a-fA-F]{1,4});", -1)
+    c = F.array_join(F.zip_with(between, numbers, lambda t, n: F.concat(t, F.coalesce(n, F.lit("")))), "")
+    return squeeze(F.replace(c, F.lit("&amp;"), F.lit("&")))
+
+
+def _entity(n: Column) -> Column:
+    code = F.when(n.rlike("^[xX]"), F.conv(F.substr(n, F.lit(2)), 16, 10)).otherwise(n).cast("int")
+    octets = F.lpad(F.hex(code), 4, "0")
+    return F.when(code.between(1, 65535), F.decode(F.unhex(octets), "UTF-16BE"))
 
 
 def contradictions(c: Column, pattern: str, want: Column) -> Column:

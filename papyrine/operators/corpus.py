@@ -78,12 +78,24 @@ def stitch(strips: Column, longest: int = 6) -> Column:
     return F.regexp_replace(F.aggregate(F.filter(strips, lambda s: s.isNotNull() & (s != "")), F.lit(""), add), r"\n+$", "")
 
 
+# How a reply begins that talks about the sheet instead of reading it.
+EXCUSE = "вот текст|на этом листе|этот лист|я не могу|извин|к сожал"
+# Signs with which the text of a sheet may end.
+CLOSING = ".!?]»\"'-–—:;,"
+
+
 def reading_flags(text: Column, shortest: int = 60) -> dict[str, Column]:
-    """What a reply looks like: empty, declared empty, an excuse, or without an end though it is long."""
+    """What a reply looks like: empty, declared empty, an excuse, or without a sign at its end though it is long."""
     trimmed = F.trim(text)
+    bare = F.regexp_replace(text, r"(?U)\s+$", "")
     return {
         "is_empty": F.coalesce(trimmed == "", F.lit(True)),
         "declared_empty": F.coalesce(trimmed == "[пустой лист]", F.lit(False)),
-        "excuse": F.coalesce(trimmed.rlike(r"(?iu)^(?:я не могу|к сожалению|не удалось прочитать|i cannot|i can't|sorry)"), F.lit(False)),
-        "open_ended": F.coalesce((F.size(F.split(trimmed, r"\s+")) > shortest) & ~F.right(trimmed, F.lit(1)).isin(*'.!?…»"])|'), F.lit(False)),
+        "excuse": F.coalesce(text.rlike(rf"(?iu)^\s*(?:{EXCUSE})"), F.lit(False)),
+        "open_ended": F.coalesce((F.regexp_count(text, F.lit(r"(?U)\S+")) > shortest) & ~F.contains(F.lit(CLOSING), F.right(bare, F.lit(1))), F.lit(False)),
     }
+
+
+def usable_reply(text: Column, finish: Column) -> Column:
+    """Whether a reply can be kept: it has a text and was not ended by a limit on its length."""
+    return F.coalesce(F.trim(text) != "", F.lit(False)) & ~finish.eqNullSafe(F.lit("MAX_TOKENS"))

@@ -15,11 +15,11 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.session import shared_base
+from papyrine.session import cut, shared_base
 
 #: Raised when the parser changes, so that entries of an older one are not used.
 PARSER_VERSION = 2
@@ -275,32 +275,51 @@ class DateDictionary:
     add the same string at the same time leave two equal entries, of which reading takes one.
     """
 
-    schema = "source string, zone string, raw string, starts string, ends string, marked boolean"
+    schema = "source string, zone string, raw string, starts string, ends string, marked boolean, part string"
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
-        self.path = f"{folder or shared_base(spark)}/papyrine-date-dictionary-v{PARSER_VERSION}"
+        self.path = f"{folder or shared_base(spark)}/papyrine-date-dictionary-v{PARSER_VERSION}-parts"
 
-    def read(self) -> DataFrame:
+    @staticmethod
+    def part(source: Column, zone: Column) -> Column:
+        """The folder in which the entries of a source and zone are, named alike on every file system."""
+        return F.hex(F.xxhash64(source, zone))
+
+    def read(self, source: str | None = None, zone: str | None = None) -> DataFrame:
+        """The dictionary, or of it only the folder of one source and zone."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         there = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
         if not there:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def extend(self, raw: DataFrame) -> DataFrame:
-        """Parses the (source, zone, raw) rows that the dictionary lacks, adds them, and returns the whole dictionary."""
+        whole = self.spark.read.schema(self.schema).parquet(self.path)
+        if source is None or zone is None:
+            return whole
+        name = self.spark.range(1).select(self.part(F.lit(source), F.lit(zone))).first()[0]
+        return whole.filter((F.col("part") == name) & (F.col("source") == source) & (F.col("zone") == zone))
+
+    def extend(self, raw: DataFrame, source: str, zone: str) -> DataFrame:
+        """Parses the strings of ``raw`` that the dictionary lacks for a source and zone, adds them, and returns what it
+        has for these. Only their folder is read; where nothing is new, nothing is written."""
+        new = cut(raw.select("raw").dropna().distinct().join(self.read(source, zone).select("raw"), "raw", "left_anti"))
+        if new.isEmpty():
+            return self.read(source, zone).dropDuplicates(["raw"])
+        new = new.select(F.lit(source).alias("source"), F.lit(zone).alias("zone"), "raw")
         key = ["source", "zone", "raw"]
-        new = raw.select(*key).dropna().distinct().join(self.read().select(*key), key, "left_anti")
         # the JVM's list of regions (some 600 names) and its rules for their clocks, daylight saving included
         regions = {name.lower(): name for name in self.spark._jvm.java.time.ZoneId.getAvailableZoneIds()}
         parsed = new.select(*key, _parser(regions)("raw", "zone").alias("e")).select(*key, "e.*")
         local = F.to_timestamp_ntz(F.col("starts"), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
         utc = F.date_format(F.convert_timezone(F.col("region"), F.lit("UTC"), local), "yyyy-MM-dd'T'HH:mm:ss'Z'")
         at = {c: F.when(F.col("region").isNotNull(), utc).otherwise(F.col(c)) for c in ("starts", "ends")}
-        parsed = parsed.select(*key, at["starts"].alias("starts"), at["ends"].alias("ends"), "marked")
-        parsed.write.mode("append").parquet(self.path)
-        return self.read().dropDuplicates(key)
+        parsed = parsed.select(*key, at["starts"].alias("starts"), at["ends"].alias("ends"), "marked", self.part(F.col("source"), F.col("zone")).alias("part"))
+        parsed.write.mode("append").partitionBy("part").parquet(self.path)
+        return self.read(source, zone).dropDuplicates(["raw"])
+
+    def compact(self) -> None:
+        """Rewrites every folder with one row for each entry, in few files; the old files go once the new ones stand."""
+        whole = cut(self.read().dropDuplicates(["source", "zone", "raw"]))
+        whole.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
 
 
 def with_dates(
@@ -308,9 +327,7 @@ def with_dates(
 ) -> DataFrame:
     """``df`` with starts, ends and conj (0 or 1; columns of these names are replaced). Every row stays, and so does
     every other column, whatever its name."""
-    strings = df.select(F.lit(source).alias("source"), F.lit(zone).alias("zone"), F.col(raw).alias("raw"))
-    entries = DateDictionary(df.sparkSession, folder).extend(strings)
-    entries = entries.filter((F.col("source") == source) & (F.col("zone") == zone))
+    entries = DateDictionary(df.sparkSession, folder).extend(df.select(F.col(raw).alias("raw")), source, zone)
     mine = {"raw": "__date_raw", "starts": "__date_starts", "ends": "__date_ends", "marked": "__date_marked"}
     joined = df.join(entries.select(*(F.col(a).alias(b) for a, b in mine.items())), df[raw] == F.col("__date_raw"), "left")
     conj = F.coalesce(F.col("__date_marked"), F.lit(False)) | F.coalesce(F.col(flag), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import index_terms
+from papyrine.session import cut
 
 #: Terms in more than this share of all documents are left out.
 STOP_SHARE = 0.25
@@ -31,17 +32,13 @@ def split_stop_terms(documents: DataFrame, key: str = "doc_id", text: str = "tex
 
 def postings(documents: DataFrame, key: str = "doc_id", text: str = "text", stop_share: float = STOP_SHARE, block: int = 100_000) -> DataFrame:
     """(shard, term, df, block, docs): the sorted documents of each kept term; the shard is the code point of its first
-    letter. A list holds the documents of one block of ids, so no list grows with the corpus."""
-    kept, _ = split_stop_terms(documents, key, text, stop_share)
-    rows = document_terms(documents, key, text).join(kept, "term").withColumn("block", F.floor(F.col(key) / block))
-    lists = rows.groupBy("term", "df", "block").agg(F.sort_array(F.collect_list(key)).alias("docs"))
-    return lists.select(F.ascii("term").alias("shard"), "term", "df", "block", "docs")
-
-
-def posting_rows(documents: DataFrame, key: str = "doc_id", text: str = "text", stop_share: float = STOP_SHARE) -> DataFrame:
-    """(shard, term, key): one row for each posting."""
-    kept, _ = split_stop_terms(documents, key, text, stop_share)
-    return document_terms(documents, key, text).join(kept.select("term"), "term").select(F.ascii("term").alias("shard"), "term", key)
+    letter. A list holds the documents of one block of ids, so no list grows with the corpus. Texts are read once: the
+    lists are written, and frequencies are their sizes added up."""
+    rows = document_terms(documents, key, text).withColumn("block", F.floor(F.col(key) / block))
+    lists = cut(rows.groupBy("term", "block").agg(F.sort_array(F.collect_list(key)).alias("docs")))
+    df = lists.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+    kept = df.join(documents.agg(F.count("*").alias("total"))).filter(F.col("df") <= F.col("total") * stop_share).select("term", "df")
+    return lists.join(kept, "term").select(F.ascii("term").alias("shard"), "term", "df", "block", "docs")
 
 
 def write_index(documents: DataFrame, path: str, **options) -> None:

@@ -87,12 +87,13 @@ def line_runs(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def streak_stop(df: DataFrame, key: str, order: Sequence[str], hit: Column, k: int) -> DataFrame:
-    """Rows of each key before its first streak of ``k`` rows in a row without a hit."""
-    w = Window.partitionBy(key).orderBy(*order)
-    flagged = df.withColumn("_hit", hit.cast("int")).withColumn("_n", F.row_number().over(w)).withColumn("_island", F.sum("_hit").over(w))
-    islands = flagged.filter("_hit = 0").groupBy(key, "_island").agg(F.count("*").alias("_len"), F.min("_n").alias("_start"))
-    stops = islands.filter(F.col("_len") >= k).groupBy(key).agg(F.min("_start").alias("_stop"))
-    return flagged.join(stops, key, "left").filter("_stop is null or _n < _stop").drop("_hit", "_n", "_island", "_len", "_start", "_stop")
+    """Rows of each key before its first streak of ``k`` rows in a row without a hit (a null hit is none). ``order`` must tell
+    all rows apart. Places and islands are running totals over range partitions, so a hot key is many tasks."""
+    flagged = df.withColumn("_hit", F.coalesce(hit.cast("int"), F.lit(0)))
+    placed = running(running(flagged, [key], order, F.lit(1).cast("bigint"), "_n"), [key], order, F.col("_hit"), "_island")
+    islands = placed.filter("_hit = 0").groupBy(key, "_island").agg(F.count("*").alias("_len"), F.min("_n").alias("_start"))
+    stops = islands.filter(F.col("_len") >= k).groupBy(F.col(key).alias("_key")).agg(F.min("_start").alias("_stop"))
+    return placed.join(stops, F.col(key).eqNullSafe(F.col("_key")), "left").filter("_stop is null or _n < _stop").drop("_hit", "_n", "_island", "_key", "_stop")
 
 
 def round_robin(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
@@ -136,3 +137,16 @@ def half(c: Column) -> Column:
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows in the order of a seeded hash of their key: the same ones on every run."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def crawl(start: DataFrame, edges: DataFrame, node: list[str], parent: list[str]) -> DataFrame:
+    """The nodes that can be reached from ``start`` over edges (parent columns, node columns), each once, ``start``
+    included. Cycles end by themselves: only nodes not seen before go on. Every frontier is written, so the plan of a
+    round does not grow and a lost executor costs one round at most; rounds are as many as the longest way."""
+    to = edges.select(*(F.col(p).alias(f"__{p}") for p in parent), *node)
+    frontier = seen = cut(start.select(*node).distinct())
+    while not frontier.isEmpty():
+        step = frontier.select(*(F.col(n).alias(f"__{p}") for n, p in zip(node, parent, strict=True)))
+        frontier = cut(to.join(step, [f"__{p}" for p in parent]).select(*node).distinct().join(seen, node, "left_anti"))
+        seen = seen.unionByName(frontier)
+    return seen

@@ -5,8 +5,10 @@ Pairs come from an equi-join on a key (two readings of a path, for instance); pa
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,35 +102,117 @@ def best_block(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block_ratio", "length_ratio"])
 
 
+def _window(needle, hay) -> tuple[int, float] | None:
+    x, y = list(needle if needle is not None else []), list(hay if hay is not None else [])
+    n = len(x)
+    if n < 20 or len(y) < n:
+        return None
+    step = max(1, n // 6)
+    score = lambda k, f: getattr(SequenceMatcher(None, x, y[k : k + n], False), f)()
+    start = max(range(0, len(y) - n + 1, step), key=lambda k: (score(k, "quick_ratio"), -k))
+    near = range(max(0, start - step), min(len(y) - n, start + step) + 1, max(1, step // 8))
+    ratio_, at = max((score(k, "ratio"), -k) for k in near)
+    return -at, ratio_
+
+
 @F.pandas_udf(T.DoubleType())
 def best_window(needle: pd.Series, hay: pd.Series) -> pd.Series:
     """The best ratio of a sequence with a window of its length: coarse steps by the multiset bound, then fine ones by the
     exact ratio around the best. Null for fewer than 20 tokens or a shorter hay."""
-    out = []
-    for x, y in zip(needle, hay, strict=True):
-        x, y = list(x if x is not None else []), list(y if y is not None else [])
-        n = len(x)
-        if n < 20 or len(y) < n:
-            out.append(None)
-            continue
-        step = max(1, n // 6)
-        bound = lambda k: SequenceMatcher(None, x, y[k : k + n], False).quick_ratio()  # noqa: B023, E731
-        start = max(range(0, len(y) - n + 1, step), key=lambda k: (bound(k), -k))
-        near = range(max(0, start - step), min(len(y) - n, start + step) + 1, max(1, step // 8))
-        out.append(max(SequenceMatcher(None, x, y[k : k + n], False).ratio() for k in near))
-    return pd.Series(out, dtype=float)
+    return pd.Series([None if (at := _window(x, y)) is None else at[1] for x, y in zip(needle, hay, strict=True)], dtype=float)
 
 
-def top_match(df: DataFrame, key: list[str], a_order: str, b_order: str, a: str, b: str, least: float = 0.25) -> DataFrame:
-    """For each a of each pair table the b with the largest exact ratio of at least ``least``; the first b wins ties.
+def best_in_blocks(queries: DataFrame, rows: DataFrame, key: list[str], name: str, tokens: str, least: float = 0.25, exact: bool = True, block: int = 256) -> DataFrame:
+    """(key, a_id, b_id, ratio, common): for each query the row of its key with the largest ratio of at least ``least``;
+    of equal ones the first by ``name``. ``exact`` false ranks by the multiset bound itself.
 
-    Two phases: the candidate with the best native bound is scored exactly; then only candidates whose bound reaches
-    that score are scored at all. The bound is never below the ratio, so the result is the same.
+    Both sides of a key are divided into blocks by a hash of their names, so that a key with a third of all rows is
+    many small tasks; a task holds one block of queries and one of rows, and returns one row for each query. Within it
+    the bound is worked out for all rows at once, and exact ratios in falling order of bounds until no bound reaches the
+    best ratio. Rows of a null key, name or token array take no part.
     """
-    bounded = quick_ratio(df, [*key, a_order, b_order], a, b).filter(F.col("bound") >= least)
-    by_a = Window.partitionBy(*key, a_order)
-    first = bounded.withColumn("_r", F.row_number().over(by_a.orderBy(F.desc("bound"), b_order)))
-    best = first.filter("_r = 1").select(*key, a_order, ratio(a, b).alias("_best"))
-    scored = first.join(best, [*key, a_order]).filter(F.col("bound") >= F.col("_best")).withColumn("ratio", ratio(a, b))
-    ranked = scored.filter(F.col("ratio") >= least).withColumn("_k", F.row_number().over(by_a.orderBy(F.desc("ratio"), b_order)))
-    return ranked.filter("_k = 1").drop("_r", "_k", "_best")
+    if not key:
+        found = best_in_blocks(queries.withColumn("__all", F.lit(0)), rows.withColumn("__all", F.lit(0)), ["__all"], name, tokens, least, exact, block)
+        return found.drop("__all")
+    kind = dict(queries.dtypes)
+    q = queries.select(*key, F.col(name).alias("a_id"), F.col(tokens).alias("a")).dropna()
+    r = rows.select(*key, F.col(name).alias("b_id"), F.col(tokens).alias("b")).dropna()
+    sizes = q.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("__q")).join(r.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("__r")), key)
+    part = lambda column, n: F.pmod(F.xxhash64(column), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1))
+    left = q.join(sizes, key).select(*key, "a_id", "a", part("a_id", "__q").alias("__x"), every("__r").alias("__y"))
+    right = r.join(sizes, key).select(*key, "b_id", "b", part("b_id", "__r").alias("__y"), every("__q").alias("__x"))
+    group = [*key, "__x", "__y"]
+
+    def search(keys: tuple, ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        columns = [*key, "a_id", "b_id", "ratio", "common"]
+        if ours.empty or theirs.empty:
+            return pd.DataFrame(columns=columns)
+        theirs = theirs.sort_values("b_id").reset_index(drop=True)
+        lengths = theirs["b"].map(len).to_numpy()
+        index: dict[str, tuple[list[int], list[int]]] = {}
+        for k, words in enumerate(theirs["b"]):
+            for w, n in Counter(words).items():
+                where, counts = index.setdefault(w, ([], []))
+                where.append(k)
+                counts.append(n)
+        arrays = {w: (np.array(a), np.array(b)) for w, (a, b) in index.items()}
+        out = []
+        for a_id, words in zip(ours["a_id"], ours["a"], strict=True):
+            words = list(words)
+            common = np.zeros(len(theirs), np.int64)
+            for w, n in Counter(words).items():
+                if w in arrays:
+                    common[arrays[w][0]] += np.minimum(arrays[w][1], n)
+            total = lengths + len(words)
+            bound = np.where(total > 0, 2.0 * common / np.maximum(total, 1), 1.0)
+            best, at = -1.0, -1
+            for k in np.argsort(-bound, kind="stable").tolist():
+                if bound[k] < max(best, least):
+                    break
+                value = SequenceMatcher(None, words, list(theirs["b"][k]), False).ratio() if exact else float(bound[k])
+                if value > best or (value == best and k < at):
+                    best, at = value, k
+                if not exact:
+                    break
+            if at >= 0 and best >= least:
+                out.append((*keys[: len(key)], a_id, theirs["b_id"][at], best, int(common[at])))
+        return pd.DataFrame(out, columns=columns)
+
+    types = dict(q.dtypes) | {"b_id": kind[name], "ratio": "double", "common": "bigint"}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*key, "a_id", "b_id", "ratio", "common"])
+    right = right.toDF(*right.columns)  # both sides may come from one table
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(search, schema)
+    first = F.min(F.struct((-F.col("ratio")).alias("r"), F.col("b_id").alias("b_id"), F.col("common").alias("common"))).alias("x")
+    return found.groupBy(*key, "a_id").agg(first).select(*key, "a_id", F.col("x.b_id").alias("b_id"), (-F.col("x.r")).alias("ratio"), F.col("x.common").alias("common"))
+
+
+@F.pandas_udf(T.LongType())
+def run_in_common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest matching block of two token arrays; null if one is null."""
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, list(x), list(y), False).find_longest_match().size for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def window_of(needle: pd.Series, hay: pd.Series) -> pd.Series:
+    """The stretch of ``hay`` that ``best_window`` finds; null where that is null."""
+    return pd.Series([None if (at := _window(x, y)) is None else list(y[at[0] : at[0] + len(x)]) for x, y in zip(needle, hay, strict=True)], dtype=object)
+
+
+def observed_similarity(script: Column, a: Column, b: Column) -> Column:
+    """Tokens in the equal stretches of an edit script for each token of the longer side; null for two empty sides."""
+    equal = F.aggregate(F.filter(script, lambda o: o["tag"] == "equal"), F.lit(0), lambda n, o: n + o["i2"] - o["i1"])
+    longer = F.greatest(F.size(a), F.size(b))
+    return F.when(longer > 0, equal / longer)
+
+
+def collation(script: Column, a: Column, b: Column, least: int = 25, clip: int = 1500) -> Column:
+    """The differing stretches of at least ``least`` tokens, the longest first, as (kind, words, first, second): only in
+    the first or the second text, or rewritten; texts are clipped for display at ``clip`` characters."""
+    said = lambda t, i, j: F.substring(F.array_join(F.slice(t, i + 1, j - i), " "), 1, clip)
+    named = F.transform(differing_runs(script, least), lambda o: F.struct(
+        (-F.greatest(o["i2"] - o["i1"], o["j2"] - o["j1"])).alias("order"), o["i1"].alias("i1"),
+        F.when(o["tag"] == "delete", "only_a").when(o["tag"] == "insert", "only_b").otherwise("replace").alias("kind"),
+        said(a, o["i1"], o["i2"]).alias("first"), said(b, o["j1"], o["j2"]).alias("second"),
+    ))
+    return F.transform(F.array_sort(named), lambda x: F.struct(x["kind"].alias("kind"), (-x["order"]).alias("words"), x["first"].alias("first"), x["second"].alias("second")))

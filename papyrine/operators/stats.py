@@ -14,8 +14,8 @@ def upper_median(column: str) -> Column:
 
 
 def share(condition: Column) -> Column:
-    """The share of rows for which a condition holds (null counts as false)."""
-    return F.count_if(condition) / F.count("*")
+    """The share of rows for which a condition holds (null counts as false); null of no rows."""
+    return F.try_divide(F.count_if(condition), F.count("*"))
 
 
 def ranks(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:

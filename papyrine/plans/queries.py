@@ -6,40 +6,23 @@ distinct by the table's key, so that texts are not shuffled where numbers will d
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.functions import parse, text
+from papyrine.functions.vocabulary import GLOSSES
 from papyrine.operators import corpus, dates, index, raster, sequence, similarity, stats
+from papyrine.plans.registry import CARDS as _CARDS
+from papyrine.plans.registry import COUNT_WORDS as _COUNT_WORDS
+from papyrine.plans.registry import QUERIES, SQL, WS, Query, query
+from papyrine.plans.registry import cards as _cards
+from papyrine.plans.registry import distinct as _d
+from papyrine.session import cut, join_small
 from papyrine.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-# White space as Java's Unicode-aware \s has it, for engines whose \s is ASCII.
-_WS = r"\x{9}-\x{d} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_COUNT_WORDS = f"len(regexp_extract_all(text, '[^{_WS}]+'))"
-_TERMS = "regexp_extract_all(regexp_replace(regexp_replace(lower(text), '\\[[^\\]]*\\]|~~', ' ', 'g'), '(?m)^[#>][^\\n]*', ' ', 'g'), '[а-яёa-z]{3,}')"
+_TERMS = f"regexp_extract_all(regexp_replace(lower(text), '(?m){text.INDEX_MARKUP}', ' ', 'g'), '[а-яёa-z]{{3,}}')"
 _DOC_TERMS = f"t as (select distinct doc_id, replace(w, 'ё', 'е') term from (select doc_id, unnest({_TERMS}) w from documents)), f as (select term, count(*) df from t group by term), k as (select * from f where df <= 0.25 * (select count(*) from documents))"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def _d(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
-    return table(spark, sf, name, *columns).distinct()
-
-
 # --- dates (problem 4) ------------------------------------------------------------------------------------------
 
 
@@ -79,8 +62,7 @@ def index_shards(spark, sf):
 
 @query(f"with {_DOC_TERMS} select distinct doc_id from t join k using (term) where term like 'стекл%'")
 def prefix_search(spark, sf):
-    rows = index.posting_rows(table(spark, sf, "documents", "doc_id", "text"))
-    return rows.filter((F.col("shard") == ord("с")) & F.startswith("term", F.lit("стекл"))).select("doc_id").distinct()
+    return index.prefix_search(index.postings(table(spark, sf, "documents", "doc_id", "text")), "стекл")
 
 
 # --- rates and marks --------------------------------------------------------------------------------------------
@@ -103,13 +85,6 @@ def mark_counts(spark, sf):
     return table(spark, sf, "documents", "doc_id", "text").filter("text is not null").select("doc_id", *(v.cast("bigint").alias(k) for k, v in text.mark_counts(F.col("text")).items()))
 
 
-@query("""with r as (select distinct reading_id, path, length(text) chars from transcripts_raw where text is not null), p as (select distinct path, class from page_classes)
-select class, count(*) n, quantile_disc(chars, 0.5 order by chars desc) upper from r join p using (path) group by class""".replace("quantile_disc(chars, 0.5 order by chars desc)", "percentile_disc(0.5) within group (order by chars desc)"))
-def class_medians(spark, sf):
-    r = table(spark, sf, "transcripts_raw", "reading_id", "path", "text").filter("text is not null").select("reading_id", "path", F.length("text").alias("chars")).distinct()
-    return r.join(_d(spark, sf, "page_classes", "path", "class"), "path").groupBy("class").agg(F.count("*").alias("n"), stats.upper_median("chars").alias("upper"))
-
-
 # --- runs of lines ----------------------------------------------------------------------------------------------
 
 _LINES = """l as (select reading_id, pos, lines[pos] line from (select reading_id, string_split(text, chr(10)) lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) pos from (select distinct reading_id, text from transcripts_raw where text is not null))),
@@ -180,11 +155,12 @@ def stitch_overlap(spark, sf):
     return above.join(below, ["opis_code", "delo", "k"]).select("opis_code", "delo", "page", corpus.overlap(F.col("above"), F.col("below")).alias("lines")).filter("lines > 0")
 
 
-@query("""with r as (select distinct reading_id, trim(text, ' ') t from transcripts_raw) select count(*) readings, count_if(t is null or t = '') is_empty, count_if(t = '[пустой лист]') declared_empty, count_if(coalesce(regexp_matches(t, '(?i)^(я не могу|к сожалению|не удалось прочитать|i cannot|i can''t|sorry)'), false)) excuse from r""")
+@query(f"""with r as (select distinct reading_id, text, trim(text, ' ') t, {_COUNT_WORDS} n, right(regexp_replace(text, '[{WS}]+$', ''), 1) e from transcripts_raw)
+select count(*) readings, count_if(t is null or t = '') is_empty, count_if(t = '[пустой лист]') declared_empty, count_if(regexp_matches(text, '(?i)^\\s*({corpus.EXCUSE})')) excuse, count_if(n > 60 and strpos('{corpus.CLOSING.replace("'", "''")}', e) = 0) open_ended from r""")
 def qa_flags(spark, sf):
     flags = corpus.reading_flags(F.col("text"))
     r = table(spark, sf, "transcripts_raw", "reading_id", "text").select("reading_id", *(v.alias(k) for k, v in flags.items())).distinct()
-    return r.agg(F.count("*").alias("readings"), *(F.count_if(k).alias(k) for k in ("is_empty", "declared_empty", "excuse")))
+    return r.agg(F.count("*").alias("readings"), *(F.count_if(k).alias(k) for k in flags))
 
 
 # --- similarity of two readings of a sheet -----------------------------------------------------------------------
@@ -198,9 +174,13 @@ q as (select p.*, coalesce(common, 0)::bigint common, case when len(a_w) + len(b
 
 
 def _pairs(spark, sf):
-    """Two readings of a path as tokens. Only paths read more than once meet, so texts are shuffled once by path."""
+    """Two readings of a path as tokens. The paths that were read more than once come from narrow columns; only their
+    readings are divided into words and shuffled."""
+    narrow = table(spark, sf, "transcripts_raw", "reading_id", "path", "text").filter("text is not null and path is not null").select("reading_id", "path")
+    twice = narrow.groupBy("path").agg((F.max("reading_id") > F.min("reading_id")).alias("twice")).filter("twice").select("path")
     words = F.regexp_extract_all(F.lower("text"), F.lit("[а-яёѣіѳѵa-z]+"), F.lit(0))
     r = table(spark, sf, "transcripts_raw", "reading_id", "path", "opis_code", "delo", "text").filter("text is not null")
+    r = join_small(r, cut(twice), ["path"], "left_semi")
     r = r.select("reading_id", "path", "opis_code", "delo", words.alias("w")).dropDuplicates(["reading_id"])
     p = similarity.pairs(r, "path", "reading_id", "opis_code", "delo", "w")
     return p.select("a_reading_id", "b_reading_id", F.col("a_opis_code").alias("opis_code"), F.col("a_delo").alias("delo"), "a_w", "b_w")
@@ -243,13 +223,6 @@ def best_window_pairs(spark, sf):
     return _pairs(spark, sf).select(*_KEY, similarity.best_window("a_w", "b_w").alias("ratio"))
 
 
-@query()
-def best_counterpart(spark, sf):
-    """Of all later readings of its sheet, the one most like each reading."""
-    p = _pairs(spark, sf).withColumn("sheet", F.lit("path"))
-    return similarity.top_match(p, ["sheet"], "a_reading_id", "b_reading_id", "a_w", "b_w").select("a_reading_id", "b_reading_id", "ratio")
-
-
 @query(f"with {_PAIRS} select count(*) pairs, count(distinct (opis_code, delo)) files, min(bound) least, percentile_disc(0.5) within group (order by bound desc) middle, max(bound) most, count_if(bound >= 0.6) high from q")
 def calibration_report(spark, sf):
     q = similarity.quick_ratio(_pairs(spark, sf), _KEY, "a_w", "b_w")
@@ -327,9 +300,11 @@ def hash_split(spark, sf):
     return _d(spark, sf, "page_classes", "path").groupBy(sequence.half(F.col("path")).alias("half")).agg(F.count("*").alias("n"))
 
 
-@query("select (year_from // 10) * 10 bucket, count(*) n, sum(year_to)::bigint total, count(*) / sum(count(*)) over () share from (select distinct portal_id, year_from, year_to from delo_dates where year_from is not null) group by 1")
+@query(f"with {_CARDS} select (year_from // 10) * 10 bucket, count(*) n, sum(coalesce(pages, 0))::bigint total, count(*) / sum(count(*)) over () share from (select distinct portal_id, year_from from delo_dates where year_from is not null) join c using (portal_id) group by 1")
 def decade_histogram(spark, sf):
-    return stats.histogram(_d(spark, sf, "delo_dates", "portal_id", "year_from", "year_to").filter("year_from is not null"), (F.floor(F.col("year_from") / 10) * 10).cast("int"), "year_to")
+    """Dated files and their sheets by decade; dates without a card are left out."""
+    dated = _d(spark, sf, "delo_dates", "portal_id", "year_from").filter("year_from is not null").join(_cards(spark, sf).select("portal_id", F.coalesce("pages", F.lit(0)).alias("pages")), "portal_id")
+    return stats.histogram(dated, (F.floor(F.col("year_from") / 10) * 10).cast("int"), "pages")
 
 
 @query("select count(*) n, count_if(year_from >= 1925) late, count_if(year_from >= 1925) / count(*) share from (select distinct portal_id, year_from from delo_dates where year_from is not null)")
@@ -351,7 +326,7 @@ def minmax_by_group(spark, sf):
     return table(spark, sf, "orders", "o_orderpriority", "o_orderdate").groupBy("o_orderpriority").agg(F.min("o_orderdate").alias("earliest"), F.max("o_orderdate").alias("latest"), F.count("*").alias("n"))
 
 
-_PATH = r"opis_([^/]+)/delo_(\d+[а-яёa-z]?)/(\d+)\.jpg"
+_PATH = parse.SCAN_PATH
 
 
 @query(f"select regexp_extract(path, '{_PATH}', 1) path_opis, regexp_extract(path, '{_PATH}', 2) path_delo, count(*) n, round_even(count_if(class = 'hand') * 100 / count(*), 0)::int percent from (select distinct path, class from page_classes) group by 1, 2")
@@ -378,13 +353,6 @@ def true_vs_upper_median(spark, sf):
 
 # --- joins ------------------------------------------------------------------------------------------------------
 
-_CARDS = "c as (select * from (select *, row_number() over (partition by portal_id order by fetched_at desc, pages desc nulls last, status) k from catalog) where k = 1)"
-
-
-def _cards(spark, sf):
-    return sequence.latest(table(spark, sf, "catalog"), ["portal_id"], F.desc("fetched_at"), F.col("pages").desc_nulls_last(), F.col("status"))
-
-
 @query(f"with {_CARDS} select portal_id, opis, opis_code, delo, name, pages, status, fetched_at from c")
 def upsert_latest(spark, sf):
     return _cards(spark, sf).select("portal_id", "opis", "opis_code", "delo", "name", "pages", "status", "fetched_at")
@@ -424,9 +392,11 @@ def multiway_join(spark, sf):
     return lines.join(named, F.col("o_custkey") == F.col("c_custkey")).groupBy("n_name").agg(F.count("*").alias("lines"), F.countDistinct("o_orderkey").alias("orders"), F.sum("l_quantity").alias("quantity"))
 
 
-@query(f"with {_CARDS}, o as (select opis_code, opis, subject from opis_names) select o.subject, count(*) cards, sum(pages)::bigint pages from c join o using (opis_code) group by 1")
+@query(f"with {_CARDS} select coalesce(o.subject, 'opis ' || c.opis_code) subject, count(*) cards, sum(pages)::bigint pages from c left join opis_names o using (opis_code) group by 1")
 def inventory_totals(spark, sf):
-    return _cards(spark, sf).join(table(spark, sf, "opis_names", "opis_code", "subject"), "opis_code").groupBy("subject").agg(F.count("*").alias("cards"), F.sum("pages").alias("pages"))
+    """Cards and sheets by inventory; codes that no inventory has, such as those in other signs, keep a label of their own."""
+    named = _cards(spark, sf).join(table(spark, sf, "opis_names", "opis_code", "subject"), "opis_code", "left")
+    return named.groupBy(parse.inventory_label(F.col("subject"), F.col("opis_code")).alias("subject")).agg(F.count("*").alias("cards"), F.sum("pages").alias("pages"))
 
 
 @query("with old as (select event_id, event_type, value from events where value < 50), new as (select event_id, 'click' event_type, value from events where event_type = 'view' and value >= 50) select * from old where event_type not in (select event_type from new) union all select * from new")
@@ -488,39 +458,49 @@ def name_fields(spark, sf):
     return d.withColumns(parse.name_fields(F.col("name"))).distinct()
 
 
-@query("""select distinct portal_id, dates_raw, list_min(list_transform(regexp_extract_all(dates_raw, '\\b1[89]\\d\\d\\b'), lambda y: y::int)) year_from, list_max(list_transform(regexp_extract_all(dates_raw, '\\b1[89]\\d\\d\\b'), lambda y: y::int)) year_to, contains(dates_raw, '[') bracketed from delo_dates where regexp_matches(dates_raw, '^[\\[0-9. ?\\]–—-]*$')""")
-def year_range(spark, sf):
-    """Only the texts of digits and signs, to which its SQL is limited; ``year_range_all`` reads every text."""
-    d = table(spark, sf, "delo_dates", "portal_id", "dates_raw").filter(F.col("dates_raw").rlike(r"^[\[0-9. ?\]–—-]*$"))
-    return d.withColumns(parse.year_range(F.col("dates_raw"))).distinct()
-
-
 # DuckDB's \b knows ASCII letters only: signs become two spaces, of which each year takes one at either side.
 @query("""with x as (select distinct portal_id, dates_raw, list_transform(regexp_extract_all(regexp_replace(dates_raw, '[^\\p{L}\\p{M}\\p{N}_]', '  ', 'g'), '(?:^| )(1[89][0-9]{2})(?: |$)', 1), lambda y: y::int) ys from delo_dates where dates_raw is not null)
 select portal_id, dates_raw, list_min(ys) year_from, list_max(ys) year_to, contains(dates_raw, '[') bracketed from x""")
-def year_range_all(spark, sf):
+def year_range(spark, sf):
     d = table(spark, sf, "delo_dates", "portal_id", "dates_raw").filter("dates_raw is not null")
     return d.withColumns(parse.year_range(F.col("dates_raw"))).distinct()
 
 
-_STEMS = " ".join(f"when contains(h, '{stem}') then {n}" for stem, n in parse.MONTHS)
+# The start of a date, in an engine without look-behind: signs around a word are matched along with it.
+_B = r"[^\p{L}\p{M}\p{N}_]"
+_STEMS = " ".join(f"when regexp_matches(lower(h), '(^|{_B}){stem}[а-я]*({_B}|$)') then {n}" for stem, n in parse.MONTHS)
+STARTS = f"""x as (select distinct portal_id, dates_raw, coalesce(conjectural, false) conj, string_split(trim(dates_raw, ' '), '-')[1] h from delo_dates where dates_raw is not null),
+y as (select *, regexp_extract(h, '(?:^|{_B})(\\d{{1,2}})\\.(\\d{{1,2}})\\.(1[89]\\d\\d)', ['d', 'm', 'y']) a, try_cast(regexp_extract(h, '(?:^|{_B})(1[89]\\d\\d)', 1) as int) y, case {_STEMS} else 0 end m from x),
+s as (select portal_id, dates_raw, conj, case when a.y <> '' then [try_cast(a.y as int), try_cast(a.m as int), try_cast(a.d as int)] when y is not null then [y, m, 0] end ymd, case when a.y <> '' then 3 when y is not null and m > 0 then 2 when y is not null then 1 end p from y)"""
 
 
-@query(f"""with x as (select distinct portal_id, dates_raw, lower(trim(regexp_split_to_array(dates_raw, '\\s*-\\s*')[1], ' ')) h from delo_dates where dates_raw is not null),
-y as (select *, regexp_extract(h, '(\\d{{1,2}})\\.(\\d{{1,2}})\\.(1[89]\\d\\d)', ['d', 'm', 'y']) a, try_cast(regexp_extract(h, '(1[89]\\d\\d)', 1) as int) y, case {_STEMS} else 0 end m from x)
-select portal_id, dates_raw, case when a.y <> '' then a.y || '-' || try_cast(a.m as int) || '-' || try_cast(a.d as int) when y is not null then y || '-' || m || '-0' end ymd, case when a.y <> '' then 3 when y is not null and m > 0 then 2 when y is not null then 1 end "precision" from y""")
-def partial_date(spark, sf):
+def starts(spark, sf):
+    """(portal_id, dates_raw, conj, ymd, p) of the distinct dates."""
     ymd, precision = parse.partial_date(F.col("dates_raw"))
-    d = table(spark, sf, "delo_dates", "portal_id", "dates_raw").filter("dates_raw is not null")
-    return d.select("portal_id", "dates_raw", F.array_join(ymd.cast("array<string>"), "-").alias("ymd"), precision.alias("precision")).distinct()
+    d = table(spark, sf, "delo_dates", "portal_id", "dates_raw", "conjectural").filter("dates_raw is not null").withColumn("conj", F.coalesce("conjectural", F.lit(False)))
+    return d.select("portal_id", "dates_raw", "conj", ymd.alias("ymd"), precision.alias("p")).distinct()
+
+
+@query(f"""with {STARTS} select distinct portal_id, dates_raw, array_to_string(ymd, '-') ymd, p "precision" from s""")
+def partial_date(spark, sf):
+    return starts(spark, sf).select("portal_id", "dates_raw", F.array_join(F.col("ymd").cast("array<string>"), "-").alias("ymd"), F.col("p").alias("precision")).distinct()
+
+
+# Cards of variants of a work, with their dates.
+_VARIANTS = f"""{_CARDS}, {STARTS}, v as (select portal_id, replace(lower(trim(regexp_extract(name, '{parse.QUOTED}', 1), ' ')), 'ё', 'е') work, try_cast(regexp_extract(name, '(\\d)-й вариант', 1) as int) variant, conj, ymd, p from c join s using (portal_id) where contains(lower(name), 'вариант') and regexp_extract(name, '{parse.QUOTED}', 1) <> '')"""
+
 
+def variants(spark, sf):
+    """(portal_id, work, variant, conj, ymd, p) of the dated cards that say that they are a variant of a work."""
+    named = _cards(spark, sf).filter(F.contains(F.lower("name"), F.lit("вариант"))).select("portal_id", parse.quoted_work(F.col("name")).alias("work"), parse.variant_number(F.col("name")).alias("variant"))
+    return named.filter("work is not null").join(starts(spark, sf).drop("dates_raw"), "portal_id")
 
-@query("""select work, count(distinct portal_id) cards, list_aggregate(list_sort(list_distinct(list(coalesce(variant, 0)))), 'string_agg', ',') variants from
-(select portal_id, nullif(replace(lower(regexp_extract(name, '[«"]([^»"]{5,})[»"]', 1)), 'ё', 'е'), '') work, try_cast(regexp_extract(name, '(\\d)-й вариант', 1) as int) variant from catalog) where work is not null group by 1 having count(distinct portal_id) >= 2""")
+
+@query(f"""with {_VARIANTS} select work, count(*) cards, array_to_string(list_sort(list_distinct(list(coalesce(variant, 9)))), ',') variants from v group by 1 having count(*) >= 2""")
 def variant_groups(spark, sf):
-    d = _d(spark, sf, "catalog", "portal_id", "name").select("portal_id", parse.quoted_work(F.col("name")).alias("work"), parse.variant_number(F.col("name")).alias("variant")).filter("work is not null")
-    g = d.groupBy("work").agg(F.countDistinct("portal_id").alias("cards"), F.array_join(F.sort_array(F.collect_set(F.coalesce("variant", F.lit(0)))).cast("array<string>"), ",").alias("variants"))
-    return g.filter("cards >= 2")
+    """Works with several variants and the numbers of these; a variant without a number comes last, as 9."""
+    numbers = F.sort_array(F.collect_set(F.coalesce("variant", F.lit(9))))  # one digit each
+    return variants(spark, sf).groupBy("work").agg(F.count("*").alias("cards"), F.array_join(numbers.cast("array<string>"), ",").alias("variants")).filter("cards >= 2")
 
 
 @query(f"select distinct path, regexp_extract(path, '{_PATH}', 1) path_opis, regexp_extract(path, '{_PATH}', 2) path_delo, regexp_extract(path, '{_PATH}', 3) path_page from page_classes")
@@ -539,7 +519,7 @@ def zero_pad_key(spark, sf):
     return d.select("delo", parse.strip_zeros(F.col("delo")).alias("stripped"), parse.pad_number(parse.strip_zeros(F.col("delo"))).alias("padded"))
 
 
-_GLOSS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in parse.GLOSSES["материал"].items()) + "}"
+_GLOSS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in GLOSSES["материал"].items()) + "}"
 
 
 @query(f"select distinct portal_id, material, array_to_string(list_transform(list_filter(list_transform(string_split(material, ','), lambda t: trim(t, ' ')), lambda t: t <> ''), lambda t: coalesce(element_at({_GLOSS}, t)[1], element_at({_GLOSS}, lower(t))[1], t)), ', ') gloss from delo_dates where material is not null".replace("element_at(", "map_extract("))
@@ -552,20 +532,17 @@ def json_items(spark, sf):
     return table(spark, sf, "events", "event_id", "props").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("""with recursive e as (select 'region' parent_kind, r_regionkey::bigint parent, 'nation' kind, n_nationkey::bigint id from region join nation on r_regionkey = n_regionkey union all select 'nation', n_nationkey, 'supplier', s_suppkey from nation join supplier on n_nationkey = s_nationkey),
-t as (select 'region' kind, r_regionkey::bigint id, 0 depth from region union all select e.kind, e.id, depth + 1 from t join e on e.parent_kind = t.kind and e.parent = t.id) select kind, depth, count(*) n from t group by 1, 2""")
+@query("""with recursive e as (select 'region' parent_kind, r_regionkey::bigint parent, 'nation' kind, n_nationkey::bigint id from region join nation on r_regionkey = n_regionkey union all select 'nation', n_nationkey, 'supplier', s_suppkey from nation join supplier on n_nationkey = s_nationkey union all select 'nation', n_nationkey, 'region', n_regionkey from nation union all select 'nation', n_nationkey, 'customer', c_custkey from nation join customer on n_nationkey = c_nationkey),
+t as (select 'region' kind, min(r_regionkey)::bigint id from region union select e.kind, e.id from t join e on e.parent_kind = t.kind and e.parent = t.id where e.kind <> 'customer') select kind, count(*) n from t group by 1""")
 def category_crawl(spark, sf):
-    """Everything under the regions: a frontier that is joined with the edges until nothing new comes."""
-    nation, supplier = table(spark, sf, "nation"), table(spark, sf, "supplier", "s_suppkey", "s_nationkey")
-    edges = nation.select(F.lit("region").alias("parent_kind"), F.col("n_regionkey").cast("bigint").alias("parent"), F.lit("nation").alias("kind"), F.col("n_nationkey").cast("bigint").alias("id"))
-    edges = edges.unionByName(supplier.select(F.lit("nation").alias("parent_kind"), F.col("s_nationkey").cast("bigint").alias("parent"), F.lit("supplier").alias("kind"), F.col("s_suppkey").cast("bigint").alias("id")))
-    frontier = table(spark, sf, "region").select(F.lit("region").alias("kind"), F.col("r_regionkey").cast("bigint").alias("id"), F.lit(0).alias("depth"))
-    seen = frontier
-    while not frontier.isEmpty():
-        found = edges.join(frontier.select(F.col("kind").alias("parent_kind"), F.col("id").alias("parent"), "depth"), ["parent_kind", "parent"]).select("kind", "id", (F.col("depth") + 1).alias("depth")).dropDuplicates(["kind", "id"])
-        frontier = found.join(seen.select("kind", "id"), ["kind", "id"], "left_anti")
-        seen = seen.unionByName(frontier)
-    return seen.groupBy("kind", "depth").agg(F.count("*").alias("n"))
+    """Everything that can be reached from the first region, members of one kind left out; nations lead back to their
+    region, so the edges have cycles."""
+    edge = lambda df, pk, p, k, i: df.select(F.lit(pk).alias("parent_kind"), F.col(p).cast("bigint").alias("parent"), F.lit(k).alias("kind"), F.col(i).cast("bigint").alias("id"))
+    nation = table(spark, sf, "nation")
+    edges = edge(nation, "region", "n_regionkey", "nation", "n_nationkey").unionByName(edge(nation, "nation", "n_nationkey", "region", "n_regionkey"))
+    edges = edges.unionByName(edge(table(spark, sf, "supplier"), "nation", "s_nationkey", "supplier", "s_suppkey")).unionByName(edge(table(spark, sf, "customer"), "nation", "c_nationkey", "customer", "c_custkey"))
+    start = table(spark, sf, "region").agg(F.min("r_regionkey").cast("bigint").alias("id")).select(F.lit("region").alias("kind"), "id")
+    return sequence.crawl(start, edges.filter("kind <> 'customer'"), ["kind", "id"], ["parent_kind", "parent"]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("select coalesce(lang, '') lang, count(*) n, count_if(n_chars is distinct from length(text)) differ from documents group by 1")
@@ -585,24 +562,15 @@ def reset_wait(spark, sf):
     return table(spark, sf, "events", "event_id", "ts").select("event_id", parse.seconds_until(F.lit("resets 12pm"), F.col("ts")).cast("bigint").alias("wait_s"))
 
 
-@query(f"""with x as (select distinct portal_id, nullif(replace(lower(regexp_extract(name, '[«"]([^»"]{{5,}})[»"]', 1)), 'ё', 'е'), '') work, try_cast(regexp_extract(name, '(\\d)-й вариант', 1) as int) variant from catalog),
-h as (select distinct portal_id, lower(trim(regexp_split_to_array(dates_raw, '\\s*-\\s*')[1], ' ')) h from delo_dates where dates_raw is not null),
-y as (select portal_id, regexp_extract(h, '(\\d{{1,2}})\\.(\\d{{1,2}})\\.(1[89]\\d\\d)', ['d', 'm', 'y']) a, try_cast(regexp_extract(h, '(1[89]\\d\\d)', 1) as int) y, case {_STEMS} else 0 end m from h),
-d as (select portal_id, case when a.y <> '' then [a.y::int, try_cast(a.m as int), try_cast(a.d as int)] when y is not null then [y, m, 0] end ymd, case when a.y <> '' then 3 when y is not null and m > 0 then 2 when y is not null then 1 end p from y),
-o as (select work, portal_id, variant, ymd, p, lag(ymd) over w before, lag(p) over w bp from x join d using (portal_id) where work is not null and variant is not null and ymd is not null window w as (partition by work order by variant, portal_id))
-select work, portal_id, variant, ymd[1:least(p, bp)] < before[1:least(p, bp)] earlier from o where before is not null""")
+@query(f"""with {_VARIANTS}, g as (select work, count(*) n, min({{'o': coalesce(variant, 9), 'id': portal_id, 'conj': conj, 'p': p, 'ymd': ymd}}) a, max({{'o': coalesce(variant, 9), 'id': portal_id, 'conj': conj, 'p': p, 'ymd': ymd}}) b from v group by 1)
+select work, a.id first_id, b.id second_id, coalesce(not a.conj and not b.conj and b.ymd[1:least(a.p, b.p)] < a.ymd[1:least(a.p, b.p)], false) conflict from g where n = 2""")
 def variant_order(spark, sf):
-    """Each variant of a work beside the one before it: is it dated earlier, as far as both dates are known?"""
-    from pyspark.sql import Window
-
-    ymd, precision = parse.partial_date(F.col("dates_raw"))
-    works = _d(spark, sf, "catalog", "portal_id", "name").select("portal_id", parse.quoted_work(F.col("name")).alias("work"), parse.variant_number(F.col("name")).alias("variant")).distinct()
-    dated = table(spark, sf, "delo_dates", "portal_id", "dates_raw").select("portal_id", ymd.alias("ymd"), precision.alias("p")).distinct()
-    both = works.join(dated, "portal_id").filter("work is not null and variant is not null and ymd is not null")
-    w = Window.partitionBy("work").orderBy("variant", "portal_id")
-    both = both.withColumns({"before": F.lag("ymd").over(w), "bp": F.lag("p").over(w)}).filter("before is not null")
-    earlier = parse.earlier_at_common_precision(F.col("ymd"), F.col("p"), F.col("before"), F.col("bp"))
-    return both.select("work", "portal_id", "variant", earlier.alias("earlier"))
+    """Works of two variants: is the second one dated earlier than the first, as far as both dates are known? Conjectural
+    dates say nothing. The two ends of a group are its two cards, so no group is collected."""
+    one = F.struct(F.coalesce("variant", F.lit(9)).alias("o"), F.col("portal_id").alias("id"), "conj", "p", "ymd")
+    g = variants(spark, sf).groupBy("work").agg(F.count("*").alias("n"), F.min(one).alias("a"), F.max(one).alias("b")).filter("n = 2")
+    earlier = parse.earlier_at_common_precision(F.col("b.ymd"), F.col("b.p"), F.col("a.ymd"), F.col("a.p"))
+    return g.select("work", F.col("a.id").alias("first_id"), F.col("b.id").alias("second_id"), F.coalesce(~F.col("a.conj") & ~F.col("b.conj") & earlier, F.lit(False)).alias("conflict"))
 
 
 @query("select distinct opis_code, delo, case when length(delo) < 5 then lpad(delo, 5, '0') else delo end as_text, coalesce(try_cast(regexp_replace(delo, '[^0-9]', '', 'g') as int), 0) as_number from transcripts_raw where delo is not null")
@@ -611,15 +579,20 @@ def catalog_order(spark, sf):
     return d.withColumns(parse.order_keys(F.col("delo"))).orderBy("opis_code", "as_number", "delo")
 
 
-@query("""select distinct portal_id, length(trim(regexp_replace(regexp_replace(regexp_replace(case when regexp_extract(name, '[«"]([^»"]+)[»"]', 1) <> '' then regexp_extract(name, '[«"]([^»"]+)[»"]', 1) else regexp_split_to_array(name, 'Вид материала:|Способ воспроизведения:|Языки:|Язык:|Крайние даты:')[1] end, '\\[[^\\]]*\\]|\\([^)]*\\)', ' ', 'g'), ',?\\s*\\d-й вариант', '', 'g'), '\\s+', ' ', 'g'), ' .,;:')) letters from catalog where name is not null""")
+TITLE_SQL = f"""trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(case when regexp_extract(name, '"([^"]+)"', 1) <> '' then regexp_extract(name, '"([^"]+)"', 1) else name end), 'ё', 'е'), '{parse.TITLE_TAIL}', ' ', 'g'), '[^а-яa-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'), ' ')"""
+
+
+@query(f"""select distinct portal_id, {TITLE_SQL} title from catalog where name is not null""")
 def clean_titles(spark, sf):
-    d = table(spark, sf, "catalog", "portal_id", "name").filter("name is not null")
-    return d.select("portal_id", F.length(parse.clean_title(F.col("name"))).alias("letters")).distinct()
+    return table(spark, sf, "catalog", "portal_id", "name").filter("name is not null").select("portal_id", parse.clean_title(F.col("name")).alias("title")).distinct()
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
+
+
+from papyrine.plans import catalogue, reports, workflow  # noqa: E402, F401  (they add their queries)

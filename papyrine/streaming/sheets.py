@@ -12,7 +12,7 @@ from papyrine.sources.files import rewrite_keyed
 
 def ingest(spark: SparkSession, source: str, schema: str, table: str, keys: list[str], order: str, name: str) -> StreamingQuery:
     """Takes in the Parquet files of ``source`` that are new since the last run, keeps the latest row of each key in
-    ``table``, and ends. Progress is kept in the shared folder, so a run that is broken off goes on where it was."""
+    ``table`` (a ``KeyedTable``; only the parts that a batch touches are written), and ends. Progress is kept in the shared folder, so a run that is broken off goes on where it was."""
     stream = spark.readStream.schema(schema).parquet(source)
 
     def merge(batch: DataFrame, _: int) -> None:

@@ -78,3 +78,20 @@ def test_nulls_duplicates_and_clashing_names(spark, tmp_path, rows):
     kept = dates.with_dates(df, folder=str(tmp_path))
     assert kept.count() == 4 and {"marked", "raw", "source"} <= set(kept.columns)
     assert dates.dated_cards(df.limit(0), str(tmp_path)).count() == 0
+
+
+def test_dictionary_is_in_parts_and_grows_only_by_what_is_new(spark, tmp_path):
+    import glob
+
+    df = spark.createDataFrame([(1, "1909", None), (2, "1910", None)], "portal_id int, dates_raw string, conjectural boolean")
+    files = lambda: glob.glob(f"{tmp_path}/*/part=*/*.parquet")
+    dates.with_dates(df, source="a", folder=str(tmp_path)).count()
+    before = len(files())
+    dates.with_dates(df, source="a", folder=str(tmp_path)).count()
+    assert len(files()) == before
+    dates.with_dates(df, source="b", zone="UTC", folder=str(tmp_path)).count()
+    dictionary = dates.DateDictionary(spark, str(tmp_path))
+    assert dictionary.read().count() == 4 and dictionary.read("a", "МСК").count() == 2 and dictionary.read("none", "UTC").count() == 0
+    dates.with_dates(df.unionByName(spark.createDataFrame([(3, "1911", None)], df.schema)), source="a", folder=str(tmp_path)).count()
+    dictionary.compact()
+    assert len(files()) == 2 and dictionary.read().count() == 5

@@ -69,6 +69,34 @@ def test_claims_and_titles(spark):
     df = spark.createDataFrame([("В фонде 12 дел. Всего 12 дел, а не 15 дел {x}", 12)], "t string, n int")
     r = df.select(text.contradictions(F.col("t"), r"(\d+) дел", F.col("n")), text.states(F.col("t"), F.lit("всего  12 ДЕЛ")), text.balanced(F.col("t"))).first()
     assert tuple(r) == (["15"], True, True)
-    assert [one(spark, v, parse.clean_title) for v in ('Письмо "Шар [черн.]", 2-й вариант', "Отчёт (копия), 3-й вариант.")] == ["Шар", "Отчёт"]
+    assert [one(spark, v, parse.clean_title) for v in ('Письмо "Шар: чертёж", 2-й вариант', "Отчёт (копия). Вид материала: отчёт")] == ["шар чертеж", "отчет копия"]
     keys = [tuple(spark.createDataFrame([(v,)], "v string").select(*parse.order_keys(F.col("v")).values()).first()) for v in ("2", "145", "145а", "146")]
     assert sorted(range(4), key=lambda i: keys[i][0]) == [0, 1, 3, 2] and sorted(range(4), key=lambda i: keys[i][1]) == [0, 1, 2, 3]
+
+
+def test_page_fields(spark):
+    html = '<div>Название:  "Шар &amp; <b>диск</b>"  Крайние даты: 1911</div><a href="/CArchive/pageimages/314\\4_0144а/002.jpg"><img src=\'/CArchive/pageimages/314\\4_0144а/001.JPG\'><a href="/CArchive/pageimages/314\\4_0144а/002.jpg">'
+    df = spark.createDataFrame([(html,), ("<p>нет</p>",), (None,)], "h string").select(*(c.alias(k) for k, c in parse.page_fields(F.col("h")).items()))
+    a, b, c = df.collect()
+    assert (a.name, a.opis_code, a.delo_no) == ("Шар &amp; диск", "4", "0144а") and a.links == ["/pageimages/314%5C4_0144а/002.jpg", "/pageimages/314%5C4_0144а/001.JPG"]
+    assert (b.name, b.opis_code, b.links) == ("", None, []) and c.links is None
+
+
+def test_small_predicates_and_formats(spark):
+    df = spark.createDataFrame([("12", 1234567, 1, 8), ("1а", 5, 0, 0), ("", None, 3, 8), (None, 0, None, 8)], "t string, n bigint, a int, b int")
+    got = df.select(parse.is_number(F.col("t")), parse.thousands(F.col("n")), parse.percent(F.col("a"), F.col("b"))).collect()
+    assert [tuple(r) for r in got] == [(True, "1,234,567", "12%"), (False, "5", None), (False, None, "38%"), (False, "0", None)]
+    titles = spark.createDataFrame([("О РАКЕТЕ", "On a rocket"), ("Письмо", "Письмо"), ("Вне  Земли", ""), (None, None)], "r string, e string")
+    got = titles.select(parse.on_topic(F.col("r")), parse.has_all(F.col("r"), "П", "сьмо"), parse.translated(F.col("r"), F.col("e"))).collect()
+    assert [tuple(r) for r in got] == [(True, False, True), (False, True, False), (True, False, False), (False, False, False)]
+    both = spark.createDataFrame([("a " * 30, "x"), ("a b", "x"), (None, "x")], "a string, b string")
+    assert [r[0][:1] for r in both.select(parse.first_long_enough(F.col("a"), F.col("b"))).collect()] == ["a", "x", "x"]
+
+
+def test_blocks_and_entities(spark):
+    html = 'a<script>x</script> <span class="pagenum q">7</span>&#1041;&#x42F;&nbsp;&amp;lt; <sup id="k" class="reference">[1]</sup>b<table><tr>t</table>'
+    assert one(spark, html, text.strip_blocks) == "a БЯ &lt; b" and one(spark, None, text.strip_blocks) is None
+
+
+def test_index_leaves_field_lines_out(spark):
+    assert one(spark, "**Название:** рецензия\nтекст ёлка\n> легенда\n## Лист 1", text.index_terms) == ["текст", "елка"]

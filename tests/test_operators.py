@@ -60,20 +60,25 @@ def test_similarity_against_the_standard_library(spark):
         assert [tuple(o) for o in script[k]] == m.get_opcodes()
 
 
-def test_top_match_is_brute_force(spark):
+def test_best_in_blocks_is_brute_force(spark):
     random.seed(8)
-    sheets = [(f, i, [random.choice("abcdefg") for _ in range(8)]) for f in range(3) for i in range(8)]
-    left = spark.createDataFrame([(f, i, w) for f, i, w in sheets if i % 2 == 0], "f int, a_order int, a array<string>")
-    right = spark.createDataFrame([(f, i, w) for f, i, w in sheets if i % 2], "f int, b_order int, b array<string>")
-    got = {(r.f, r.a_order): (r.b_order, round(r.ratio, 9)) for r in similarity.top_match(left.join(right, "f"), ["f"], "a_order", "b_order", "a", "b").collect()}
-    want = {}
-    for f, i, w in sheets:
-        if i % 2 == 0:
-            scored = [(SequenceMatcher(None, w, v, False).ratio(), -j) for g, j, v in sheets if g == f and j % 2]
-            best = max(scored)
-            if best[0] >= 0.25:
-                want[(f, i)] = (-best[1], round(best[0], 9))
-    assert got == want
+    sheets = [(f, i, [random.choice("abcdefg") for _ in range(random.randrange(0, 9))]) for f in ("x", "y", None) for i in range(14)]
+    df = spark.createDataFrame([*sheets, ("x", 90, None), ("z", 91, ["a"])], "f string, i int, w array<string>")
+    left, right = df.filter("i % 2 = 0"), df.filter("i % 2 = 1")
+    for exact in (True, False):
+        for block in (256, 3):
+            found = similarity.best_in_blocks(left, right, ["f"], "i", "w", exact=exact, block=block).collect()
+            want = {}
+            for f, i, w in sheets:
+                if i % 2 == 0 and f:
+                    score = lambda v, w=w: SequenceMatcher(None, w, v, False).ratio() if exact else SequenceMatcher(None, w, v, False).quick_ratio()  # noqa: B023
+                    best = max((score(v), -j) for g, j, v in sheets if g == f and j % 2)
+                    if best[0] >= 0.25:
+                        want[(f, i)] = (-best[1], round(best[0], 9))
+            assert {(r.f, r.a_id): (r.b_id, round(r.ratio, 9)) for r in found} == want
+    assert similarity.best_in_blocks(left.limit(0), right, ["f"], "i", "w").count() == 0
+    one = similarity.best_in_blocks(df.filter("f = 'x' and i = 2"), df.filter("f = 'y'"), [], "i", "w", least=0.0).first()
+    assert one.a_id == 2 and 0 <= one.ratio <= 1
 
 
 def test_best_block(spark):
@@ -108,10 +113,68 @@ def test_corpus(spark, rows):
     assert rows(corpus.split_sheets(done, ["f"], "document").select("f", "sheet", "text")) == [("1", "001", "а\n\nв"), ("1", "002", "б"), ("2", "001", "[не получено]")]
     strips = spark.createDataFrame([(["a\nb\nc", "B!\nc\nd", "d\ne"],), ([],), (["x", None, "y"],)], "s array<string>")
     assert [r[0] for r in strips.select(corpus.stitch(F.col("s"))).collect()] == ["a\nb\nc\nd\ne", "", "x\ny"]
-    flags = spark.createDataFrame([("",), ("[пустой лист]",), ("Sorry, no",), (None,)], "t string").select(*(c.alias(k) for k, c in corpus.reading_flags(F.col("t")).items())).collect()
+    flags = spark.createDataFrame([("",), ("[пустой лист]",), ("  Извините, текста нет",), (None,)], "t string").select(*(c.alias(k) for k, c in corpus.reading_flags(F.col("t")).items())).collect()
     assert [tuple(f) for f in flags] == [(True, False, False, False), (False, True, False, False), (False, False, True, False), (True, False, False, False)]
 
 
+def test_long_readings_without_an_end(spark):
+    df = spark.createDataFrame([("слово " * 61 + "конец \n",), ("слово " * 61 + "конец,",), ("слово " * 10 + "конец",), (None,)], "t string")
+    assert [r[0] for r in df.select(corpus.reading_flags(F.col("t"))["open_ended"]).collect()] == [True, False, False, False]
+    replies = spark.createDataFrame([("да", "STOP"), ("да", "MAX_TOKENS"), (" ", "STOP"), (None, None), ("да", None)], "t string, f string")
+    assert [r[0] for r in replies.select(corpus.usable_reply(F.col("t"), F.col("f"))).collect()] == [True, False, False, False, True]
+
+
+def _page(width=1200, height=500, line=30, letter=12):
+    page = np.full((height, width), 250, np.uint8)
+    for top in range(20, height - line, line):
+        for left in range(40, width - 40, letter):
+            page[top : top + 14, left : left + letter // 2] = 10
+    return page
+
+
+def test_raster_bands_and_pitch():
+    page = _page()
+    ink, contrast = raster.ink_mask(page.astype(float))
+    lines = raster.bands(ink)
+    assert contrast == 240 and len(lines) == 15 and lines[0] == (20, 34)
+    strength, lag = raster.pitch(ink[20:34].mean(axis=0))
+    assert lag == 12 and strength > 0.9
+    assert raster.pitch(np.zeros(100)) == (0.0, 0) and raster.pitch(np.arange(50.0)) == (0.0, 0)
+    got = raster.measure(page)
+    assert got["bands"] == 15 and got["ink_cv"] == got["gap_cv"] == got["height_cv"] == 0 and got["pitch_peak"] > 0.9
+    assert raster.measure(np.full((50, 50), 7, np.uint8)) is None and raster.measure(page[:60]) is None
+    assert raster.page_metrics(page)["regular"] > 0.95 and raster.page_metrics(np.full((5, 5), 9, np.uint8))["lines"] == 0
+
+
+def test_resized_keeps_means():
+    rng = np.random.default_rng(3)
+    grey = rng.integers(0, 255, (30, 47)).astype(np.uint8)
+    for width in (13, 47, 90):
+        out = raster.resized(grey, width)
+        assert out.shape == (max(1, int(30 * width / 47)), width) and abs(out.mean() - grey.mean()) < 4
+    assert (raster.resized(np.full((9, 9), 5, np.uint8), 4) == 5).all()
+
+
+def test_strips_cover_a_sheet():
+    got = raster.strips(1000)
+    assert len(got) == 5 and got[0][0] == 0 and got[-1][1] == 1000 and all(a[1] > b[0] for a, b in zip(got, got[1:], strict=False))
+    assert raster.strips(100) == [(0, 100)] and raster.strips(0) == []
+
+
+def test_streaks_in_a_hot_key(spark, rows):
+    data = [("hot", i, i % 5 == 0) for i in range(40)] + [("hot", i, False) for i in range(40, 60)] + [("cold", 1, None), ("cold", 2, True), (None, 1, False)]
+    df = spark.createDataFrame(data, "k string, n int, hit boolean")
+    kept = sequence.streak_stop(df, "k", ["n"], F.col("hit"), 6)
+    assert kept.groupBy("k").count().collect() and sorted((r.k or "", r["count"]) for r in kept.groupBy("k").count().collect()) == [("", 1), ("cold", 2), ("hot", 36)]
+
+
+def test_crawl_ends_in_cycles(spark, rows):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("c", "c"), (None, "z")], "p string, n string")
+    start = spark.createDataFrame([("a",)], "n string")
+    assert rows(sequence.crawl(start, edges, ["n"], ["p"])) == [("a",), ("b",), ("c",)]
+    assert rows(sequence.crawl(start.limit(0), edges, ["n"], ["p"])) == []
+
+
 def test_raster(spark):
     page = np.full((120, 200), 250, np.uint8)
     for top in range(5, 115, 12):

@@ -9,7 +9,7 @@ from papyrine.plans import queries as core
 def test_year_range_reads_every_text(spark, rows, tmp_path):
     texts = ["март 1932 г.", "[1925-1926 гг.]", "1911, 1913", "Крайние даты: 5.06.1901 (10:30)", "1899", "в1925г", "без даты", None]
     spark.createDataFrame(list(enumerate(texts)), "portal_id int, dates_raw string").write.parquet(str(tmp_path / "delo_dates.parquet"))
-    got = {r.portal_id: (r.year_from, r.year_to, r.bracketed) for r in core.queries()["year_range_all"](spark, str(tmp_path)).collect()}
+    got = {r.portal_id: (r.year_from, r.year_to, r.bracketed) for r in core.queries()["year_range"](spark, str(tmp_path)).collect()}
     assert got == {0: (1932, 1932, False), 1: (1925, 1926, True), 2: (1911, 1913, False), 3: (1901, 1901, False), 4: (1899, 1899, False), 5: (None, None, False), 6: (None, None, False)}
 
 
