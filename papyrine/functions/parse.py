@@ -87,6 +87,11 @@ def path_parts(path: Column) -> dict[str, Column]:
     return {n: F.regexp_extract(path, SCAN_PATH, k) for k, n in enumerate(("path_opis", "path_delo", "path_page"), 1)}
 
 
+def corpus_path(path: Column) -> dict[str, Column]:
+    """Inventory and file of the path of a document, of a folder of sheets or of a sheet."""
+    return {n: F.nullif(F.regexp_extract(path, r"opis_([^/]+)/delo_([^/.]+)(?:\.md$|/|$)", k), F.lit("")) for k, n in enumerate(("opis_code", "delo"), 1)}
+
+
 def scan_path(opis: Column, delo: Column, page: Column) -> Column:
     return F.concat(F.lit("data/opis_"), opis, F.lit("/delo_"), delo, F.lit("/"), page, F.lit(".jpg"))
 

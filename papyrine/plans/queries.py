@@ -98,13 +98,16 @@ def loop_fold(spark, sf):
     return table(spark, sf, "transcripts_raw", "reading_id", "text").filter("text is not null").select("reading_id", F.md5(sequence.fold_runs(F.col("text"))).alias("folded")).distinct()
 
 
-@query(f"""with {_LINES} select count(distinct reading_id) readings, sum(n - 1)::bigint dropped from r where n >= 3""")
+@query(f"""with {_LINES} select count(distinct reading_id) readings, sum(n - 1)::bigint dropped, sum((n - 1) * (len(regexp_extract_all(line, '\\[\\?\\]')) + len(regexp_extract_all(line, '\\[неразборчиво'))))::bigint marks_lost from r where n >= 3""")
 def loop_report(spark, sf):
+    """Readings with folded runs, and the lines and the marks of doubt that the folding takes out."""
     folded = sequence.fold_runs(F.col("text"))
     size = lambda c: F.size(F.split(c, "\n", -1))
-    marks = F.regexp_count(folded, F.lit(r"\[повтор свёрнут")) - F.regexp_count("text", F.lit(r"\[повтор свёрнут"))
-    r = table(spark, sf, "transcripts_raw", "reading_id", "text").filter("text is not null").select("reading_id", (size(F.col("text")) - size(folded) + marks).alias("dropped")).distinct()
-    return r.filter("dropped > 0").agg(F.count("*").alias("readings"), F.sum("dropped").alias("dropped"))
+    count = lambda c, p: F.regexp_count(c, F.lit(p))
+    markers = count(folded, r"\[повтор свёрнут") - count("text", r"\[повтор свёрнут")
+    doubts = sum((count("text", p) - count(folded, p) for p in (r"\[\?\]", r"\[неразборчиво")), F.lit(0))
+    r = table(spark, sf, "transcripts_raw", "reading_id", "text").filter("text is not null").select("reading_id", (size(F.col("text")) - size(folded) + markers).alias("dropped"), doubts.alias("lost")).distinct()
+    return r.filter("dropped > 0").agg(F.count("*").alias("readings"), F.sum("dropped").alias("dropped"), F.sum("lost").alias("marks_lost"))
 
 
 # --- documents of sheets ----------------------------------------------------------------------------------------
@@ -119,11 +122,22 @@ def _sheets(spark, sf):
     return last.withColumn("volume", F.floor(F.col("page").cast("int") / 500))
 
 
-@query(f"""with {_SHEETS} select opis_code, delo, page::int // 500 as volume, count(*) sheets, md5(string_agg('## Лист ' || page || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page)) document from s group by 1, 2, 3""")
+_FIELD = "case when trim(regexp_extract(name, '{0}\\s*(.*?)\\s*(" + "|".join(parse.NAME_LABELS) + "|$)', 1), ' .;') <> '' then '**{1}:** ' || trim(regexp_extract(name, '{0}\\s*(.*?)\\s*(" + "|".join(parse.NAME_LABELS) + "|$)', 1), ' .;') end"
+_TITLE = "trim(regexp_split_to_array(name, '" + "|".join(parse.NAME_LABELS) + "')[1], ' .;')"
+
+
+@query(f"""with s as (select distinct reading_id, opis_code, delo, page, status, read_at, text from transcripts_raw),
+g as (select opis_code, delo, page, max((status = 'done')::int) d from s group by all), f as (select opis_code, delo, count(*) scans from g group by 1, 2 having sum(d) >= count(*)),
+l as (select opis_code, delo, page, text from s where status = 'done' qualify row_number() over (partition by opis_code, delo, page order by (text is not null) desc, read_at desc, reading_id desc) = 1),
+b as (select opis_code, delo, page::int // 500 as volume, count(*) sheets, string_agg('## Лист ' || page || chr(10) || chr(10) || case when text is null then '[не получено]' when regexp_matches(text, '^[{WS}]*$') then '[пустой лист]' else text end, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page) body from l join f using (opis_code, delo) group by 1, 2, 3),
+k as (select * from catalog qualify row_number() over (partition by opis_code, delo order by fetched_at desc, portal_id desc) = 1),
+h as (select f.opis_code, f.delo, portal_id, concat_ws(chr(10), '# ' || coalesce(opis, 'Опись ' || f.opis_code) || ', дело ' || regexp_replace(f.delo, '^0+(.)', '\\1'), '', case when {_TITLE} <> '' then '**Название:** ' || {_TITLE} end, {_FIELD.format('Вид материала:', 'Вид материала')}, {_FIELD.format('Способ воспроизведения:', 'Способ воспроизведения')}, {_FIELD.format('Языки?:', 'Языки')}, {_FIELD.format('Крайние даты:', 'Крайние даты')}, '**Сканов:** ' || scans, '**Источник:** карточка ' || portal_id) || chr(10) || chr(10) || '> Машинная транскрипция. Экспертная выверка не проводилась. Орфография оригинала сохранена.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) head from f left join k using (opis_code, delo))
+select opis_code, delo, volume, portal_id, sheets, md5(head || body) document from b join h using (opis_code, delo)""")
 def doc_assemble(spark, sf):
-    """Bodies of the sheets that have a text, of incomplete files too, as its SQL; ``file_documents`` is the whole job."""
-    done = corpus.assemble(_sheets(spark, sf), ["opis_code", "delo", "volume"], "page", "text")
-    return done.select("opis_code", "delo", F.col("volume").cast("int").alias("volume"), F.col("sheets").cast("bigint").alias("sheets"), F.md5("document").alias("document"))
+    """Complete files as documents in volumes of 500 sheets, each under the particulars of its address's newest card."""
+    cards_ = table(spark, sf, "catalog", "opis_code", "delo", "portal_id", "opis", "name", "fetched_at")
+    done = corpus.file_documents(table(spark, sf, "transcripts_raw"), cards_)
+    return done.withColumn("document", F.md5("document"))
 
 
 @query(f"""with {_SHEETS} select opis_code, delo, page sheet, md5(regexp_replace(text, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g')) body from s""")
@@ -146,7 +160,9 @@ def complete_files(spark, sf):
     return corpus.complete_only(files, "done", "expected")
 
 
-@query()
+@query(f"""with {_SHEETS}, n as (select opis_code, delo, page, page::int k, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(lower(x), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) x from s),
+p as (select a.opis_code, a.delo, a.page, a.x, b.x y from n a join n b on a.opis_code = b.opis_code and a.delo = b.delo and a.k + 1 = b.k),
+o as (select opis_code, delo, page, list_max(list_filter([1, 2, 3, 4, 5, 6], lambda k: len(x) >= k and len(y) >= k and x[len(x) - k + 1:] = y[:k] and array_to_string(y[:k], '') <> '')) lines from p) select * from o where lines > 0""")
 def stitch_overlap(spark, sf):
     """How many lines the bottom of each sheet shares with the top of the next one: an equi-join on the page after."""
     s = _sheets(spark, sf)
@@ -441,7 +457,7 @@ def byte_prefix(spark, sf):
     return sequence.prefix_by_budget(d, ["source"], ["doc_id"], F.coalesce("n_chars", F.lit(0)), 5000).select("doc_id", "source", "running")
 
 
-@query()
+@query("select doc_id, source from documents order by md5('42:' || doc_id), doc_id limit 50")
 def seeded_sample(spark, sf):
     return sequence.seeded_sample(table(spark, sf, "documents", "doc_id", "source"), "doc_id", 50)
 

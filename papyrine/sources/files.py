@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyrine.functions.parse import corpus_path, scan_path
 from papyrine.operators.sequence import latest, prefix_by_budget
 from papyrine.session import cut
 
@@ -53,6 +54,18 @@ def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return df.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("changed"))
 
 
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(opis_code, delo, text) of a tree of Markdown documents, opis_X/delo_NNNN.md each."""
+    return read_texts(spark, path, "*.md").select(*(c.alias(k) for k, c in corpus_path(F.col("path")).items()), "text")
+
+
+def already_done(spark: SparkSession, path: str) -> DataFrame:
+    """(path): the scans whose sheet stands in a tree of texts (opis_X/delo_NNNN/PPP.txt), from its listing alone."""
+    sheets = list_files(spark, path, "*.txt").filter("size > 0")
+    page = F.regexp_extract("path", r"/([^/]+)\.txt$", 1)
+    return sheets.withColumns(corpus_path(F.col("path"))).filter("opis_code is not null").select(scan_path(F.col("opis_code"), F.col("delo"), page).alias("path")).distinct()
+
+
 def split_reply(text: Column) -> Column:
     """The parts of a reply set off by '=== NAME ===' lines, as an array of (name, body)."""
     head = r"(?m)^=== (.+?) ===\s*$"

@@ -19,6 +19,12 @@ def test_readers(spark, tmp_path, rows):
     (tmp_path / "t" / "x").mkdir(parents=True)
     (tmp_path / "t" / "x" / "001.txt").write_text("a\nb")
     assert [r.text for r in files.read_texts(spark, str(tmp_path / "t")).collect()] == ["a\nb"]
+    (tmp_path / "c" / "opis_1а" / "delo_0007").mkdir(parents=True)
+    (tmp_path / "c" / "opis_1а" / "delo_0007.md").write_text("# Дело")
+    (tmp_path / "c" / "opis_1а" / "delo_0007" / "002.txt").write_text("б")
+    (tmp_path / "c" / "opis_1а" / "delo_0007" / "003.txt").write_text("")
+    assert rows(files.read_corpus(spark, str(tmp_path / "c"))) == [("1а", "0007", "# Дело")]
+    assert rows(files.already_done(spark, str(tmp_path / "c"))) == [("data/opis_1а/delo_0007/002.jpg",)]
     assert files.list_files(spark, str(tmp_path / "t"), "*.txt").select("size").first()[0] == 3
 
 
