@@ -32,13 +32,14 @@ def split_stop_terms(documents: DataFrame, key: str = "doc_id", text: str = "tex
 
 def postings(documents: DataFrame, key: str = "doc_id", text: str = "text", stop_share: float = STOP_SHARE, block: int = 100_000) -> DataFrame:
     """(shard, term, df, block, docs): the sorted documents of each kept term; the shard is the code point of its first
-    letter. A list holds the documents of one block of ids, so no list grows with the corpus. Texts are read once: the
-    lists are written, and frequencies are their sizes added up."""
-    rows = document_terms(documents, key, text).withColumn("block", F.floor(F.col(key) / block))
-    lists = cut(rows.groupBy("term", "block").agg(F.sort_array(F.collect_list(key)).alias("docs")))
-    df = lists.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
-    kept = df.join(documents.agg(F.count("*").alias("total"))).filter(F.col("df") <= F.col("total") * stop_share).select("term", "df")
-    return lists.join(kept, "term").select(F.ascii("term").alias("shard"), "term", "df", "block", "docs")
+    letter. A list holds the documents of one block of ids, so no list grows with the corpus. Texts are read once: each
+    document's terms are written beside its id, so stop terms are known before anything is shuffled."""
+    terms = cut(documents.select(key, F.array_distinct(index_terms(F.col(text))).alias("terms")))
+    rows = terms.select(key, F.explode("terms").alias("term"))
+    stop = F.col("df") > F.col("total") * stop_share
+    kept = rows.groupBy("term").agg(F.count("*").alias("df")).join(terms.agg(F.count("*").alias("total"))).filter(~stop).select("term", "df")
+    lists = rows.join(kept, "term").withColumn("block", F.floor(F.col(key) / block)).groupBy("term", "df", "block").agg(F.sort_array(F.collect_list(key)).alias("docs"))
+    return lists.select(F.ascii("term").alias("shard"), "term", "df", "block", "docs")
 
 
 def write_index(documents: DataFrame, path: str, **options) -> None:

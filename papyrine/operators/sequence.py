@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,28 +10,32 @@ from pyspark.sql import functions as F
 from papyrine.session import cut
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
-    """``df`` with the running total of ``value`` within each key, by ``order`` (which must tell all rows apart).
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """``df`` with the running total of each of ``values`` (name: value) within each key, by ``order`` (which must tell all
+    rows apart).
 
     Rows are range-partitioned by (keys, order), so a key with a third of all rows is spread over many tasks; each task
     adds up its own part, and the totals of the parts before (one row for each part of a key) are added after that.
     """
-    ordered = df.withColumn("__v", value).repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id())
+    names = list(values)
+    ordered = df.withColumns({f"__v{i}": values[n] for i, n in enumerate(names)}).repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id())
     ordered = cut(ordered)  # both uses below must see the same parts
     own = Window.partitionBy("__p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = ordered.groupBy("__p", *keys).agg(F.sum("__v").alias("__total"))
     earlier = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("__before", F.coalesce(F.sum("__total").over(earlier), F.lit(0)))
-    totals = totals.select(F.col("__p").alias("__q"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__before")
+    totals = ordered.groupBy("__p", *keys).agg(*(F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(names))))
+    before = [F.coalesce(F.sum(f"__t{i}").over(earlier), F.lit(0)).alias(f"__b{i}") for i in range(len(names))]
+    totals = totals.select(F.col("__p").alias("__q"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *before)
     same = F.col("__p") == F.col("__q")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return (
-        ordered.withColumn("__own", F.sum("__v").over(own))
-        .join(totals, same)
-        .withColumn(name, F.col("__own") + F.col("__before"))
-        .drop("__v", "__p", "__own", "__q", "__before", *(f"__k{i}" for i in range(len(keys))))
-    )
+    added = ordered.withColumns({f"__o{i}": F.sum(f"__v{i}").over(own) for i in range(len(names))}).join(totals, same)
+    helpers = [f"__{c}{i}" for i in range(len(names)) for c in "vob"] + [f"__k{i}" for i in range(len(keys))]
+    return added.withColumns({n: F.col(f"__o{i}") + F.col(f"__b{i}") for i, n in enumerate(names)}).drop("__p", "__q", *helpers)
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``running_totals`` of one value."""
+    return running_totals(df, keys, order, {name: value})
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n") -> DataFrame:
@@ -90,7 +94,7 @@ def streak_stop(df: DataFrame, key: str, order: Sequence[str], hit: Column, k: i
     """Rows of each key before its first streak of ``k`` rows in a row without a hit (a null hit is none). ``order`` must tell
     all rows apart. Places and islands are running totals over range partitions, so a hot key is many tasks."""
     flagged = df.withColumn("_hit", F.coalesce(hit.cast("int"), F.lit(0)))
-    placed = running(running(flagged, [key], order, F.lit(1).cast("bigint"), "_n"), [key], order, F.col("_hit"), "_island")
+    placed = running_totals(flagged, [key], order, {"_n": F.lit(1).cast("bigint"), "_island": F.col("_hit")})
     islands = placed.filter("_hit = 0").groupBy(key, "_island").agg(F.count("*").alias("_len"), F.min("_n").alias("_start"))
     stops = islands.filter(F.col("_len") >= k).groupBy(F.col(key).alias("_key")).agg(F.min("_start").alias("_stop"))
     return placed.join(stops, F.col(key).eqNullSafe(F.col("_key")), "left").filter("_stop is null or _n < _stop").drop("_hit", "_n", "_island", "_key", "_stop")
