@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.operators.sequence import numbered
+from papyrine.operators.sequence import numbered, running_totals
+from papyrine.session import cut
 
 
 def upper_median(column: str) -> Column:
@@ -36,21 +37,23 @@ def spearman(df: DataFrame, a: str, b: str, tie: str) -> DataFrame:
 def stump(df: DataFrame, feature: Column, positive: Column, by: str | None = None) -> DataFrame:
     """The best one-feature threshold of each group: (by, cut, sense, correct, n).
 
-    Values are added up first, so the window runs over distinct values. A cut lies midway between neighbouring values;
-    '>' calls larger values positive. Most correct wins, then the smaller cut, then '<' after '>'.
+    Values are added up first. Running totals over the distinct values of a group are worked out over range partitions, so a
+    continuous feature is many tasks. A cut lies midway between neighbouring values; '>' calls larger values positive.
+    Most correct wins, then the smaller cut, then '<' after '>'. Rows with a null feature or class are left out; a group of
+    one value has no cut.
     """
     group = F.col(by) if by else F.lit("all")
-    values = df.select(group.alias("by"), feature.alias("v"), positive.cast("int").alias("y")).dropna().groupBy("by", "v").agg(F.sum("y").alias("p"), F.count("*").alias("c"))
-    up = Window.partitionBy("by").orderBy("v")
-    whole = Window.partitionBy("by")
-    cuts = values.withColumns({
-        "next": F.lead("v").over(up), "p_low": F.sum("p").over(up), "c_low": F.sum("c").over(up), "p_all": F.sum("p").over(whole), "n": F.sum("c").over(whole),
-    }).filter("next is not null")
+    rows = df.select(group.alias("by"), feature.alias("v"), positive.cast("int").alias("y")).dropna()
+    values = rows.groupBy("by", "v").agg(F.sum("y").alias("p"), F.count("*").alias("c"))
+    totals = values.groupBy("by").agg(F.sum("p").alias("p_all"), F.sum("c").alias("n"))
+    placed = cut(running_totals(values, ["by"], ["v"], {"p_low": F.col("p"), "c_low": F.col("c"), "k": F.lit(1).cast("bigint")}))
+    after = placed.select("by", (F.col("k") - 1).alias("k"), F.col("v").alias("next"))
+    cuts = placed.join(after, ["by", "k"]).join(totals, "by")
     above = (F.col("c_low") - F.col("p_low")) + (F.col("p_all") - F.col("p_low"))
-    sides = F.explode(F.array(F.struct(F.lit(">").alias("sense"), above.alias("correct")), F.struct(F.lit("<").alias("sense"), (F.col("n") - above).alias("correct"))))
-    scored = cuts.select("by", "n", ((F.col("v") + F.col("next")) / 2).alias("cut"), sides.alias("s")).select("by", "n", "cut", "s.*")
-    best = Window.partitionBy("by").orderBy(F.desc("correct"), "cut", F.desc("sense"))
-    return scored.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("by", "cut", "sense", "correct", "n")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("less"), above.alias("correct")), F.struct(F.lit(1).alias("less"), (F.col("n") - above).alias("correct"))))
+    scored = cuts.select("by", "n", ((F.col("v") + F.col("next")) / 2).alias("cut"), sides.alias("s"))
+    best = scored.groupBy("by", "n").agg(F.min(F.struct((-F.col("s.correct")).alias("wrong"), F.col("cut").alias("cut"), F.col("s.less").alias("less"))).alias("b"))
+    return best.select("by", F.col("b.cut").alias("cut"), F.when(F.col("b.less") == 1, "<").otherwise(">").alias("sense"), (-F.col("b.wrong")).alias("correct"), "n")
 
 
 def wins(df: DataFrame, a: str, b: str) -> DataFrame:
