@@ -611,4 +611,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from papyrine.plans import catalogue, reports, workflow  # noqa: E402, F401  (they add their queries)
+from papyrine.plans import catalogue, reports, texts, workflow  # noqa: E402, F401  (they add their queries)

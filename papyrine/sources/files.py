@@ -168,7 +168,8 @@ def append_new(spark: SparkSession, path: str, rows: DataFrame, keys: list[str])
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A CSV table with a header, nulls as empty values; Spark's commit leaves the old table or the new one."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, escape='"', emptyValue="", **spaces).csv(path)
 
 
 def write_json_document(df: DataFrame, path: str, **header: str) -> None:
