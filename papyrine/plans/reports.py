@@ -77,11 +77,12 @@ def model_comparison_figures(spark, sf):
 
 @query()
 def ab_report(spark, sf):
-    """The light model's readings against the strong one's, on the sheets of calibration pairs."""
+    """The light model's readings against the others', on scans of calibration pairs that both have read."""
     measured = cut(_sheets(spark, sf))
-    light, strong = measured.filter("model = 'reader-lite'"), measured.filter("model is distinct from 'reader-lite'")
-    pairs = reports.calibration(measured, _QUERIES, LEAST)
-    rows = reports.ab_rows(pairs, light, strong.unionByName(light), reports.typed(measured))
+    light, strong = measured.filter("model = 'reader-lite'"), measured.filter("model <> 'reader-lite'")
+    # the scans that the light model has read too are the query set here
+    both = cut(strong.join(light.select("path").distinct(), "path", "left_semi").unionByName(reports.typed(measured).filter("model is null or model = 'reader-lite'")).dropDuplicates(["reading_id"]))
+    rows = reports.ab_rows(reports.calibration(both, "model <> 'reader-lite'", LEAST), light, strong, reports.typed(measured))
     return reports.comparison_figures(cut(rows), "agree_cheap", "agree_strong")
 
 
