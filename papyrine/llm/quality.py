@@ -182,9 +182,16 @@ class Measure:
         return (chars, n, mean, symbols, x["digits"] / dense, n_lines, ended, share, x["ends"], items, cells, marked, mixed, code)
 
 
+#: A list of common words is shared with every task, so it may not be longer; 148 words are usual.
+MOST_COMMON = 100_000
+
+
 def with_statistics(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, the statistics, votes): one row for each row of ``documents``."""
-    common = common_forms([tuple(r) for r in common_words.select("lang", "word").dropna().collect()])  # a fixed word list
+    listed = common_words.select("lang", "word").dropna().limit(MOST_COMMON + 1).collect()
+    if len(listed) > MOST_COMMON:
+        raise ValueError(f"a list of common words has at most {MOST_COMMON} words")
+    common = common_forms([tuple(r) for r in listed])
 
     def measure(batches):
         of = Measure(common)

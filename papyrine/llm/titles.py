@@ -2,7 +2,7 @@
 
 ``sheets.is_title`` knows a title by its wording or its setting. A title in any other wording shows only in that the same
 line stands at the top or the bottom of many sheets of one file. The edges are taken with built-ins, where the texts
-are; what is shuffled is the few short lines that may be titles, once for each page.
+are; what is shuffled is a number for each of the few short lines that may be titles, once for each page.
 
 Results at the edges: rows without a file, page or text give nothing; rows delivered twice count once, because pages
 are counted; a file with fewer than ``PAGES`` pages has no titles of this kind.
@@ -18,6 +18,7 @@ from papyrine.llm.sheets import is_title, skeleton
 from papyrine.session import cut, join_small
 
 FILE = ("opis_code", "delo")
+SCHEMA = "opis_code string, delo string, titles array<string>"
 #: A title stands on this many pages of its file at least, and on this share of them: at the top, or at the bottom, where
 #: signatures recur as well.
 PAGES, TOP, BOTTOM = 3, 0.2, 0.6
@@ -40,25 +41,22 @@ def running_titles(readings: DataFrame) -> DataFrame:
         .withColumn("line", F.trim("line"))
         .filter(F.col("line").rlike(_MAY_BE) & ~F.col("line").rlike(_IS_ELSE))
     )
-    letters = F.lower(F.regexp_replace("line", r"\P{L}", ""))
-    found = (
-        rows.withColumn("letters", letters)
-        .filter("length(letters) >= 5")
-        .groupBy(*FILE, "letters", "place", "page")
-        .agg(F.min("line").alias("line"))
-        .groupBy(*FILE, "letters", "place")
-        .agg(F.count("*").alias("n"), F.min("line").alias("line"))
-        .filter(F.col("n") >= PAGES)
-    )
-    pages = readings.select(*FILE, "page").distinct().groupBy(*FILE).agg(F.count("page").alias("pages"))
-    kept = found.join(pages, list(FILE)).filter(F.col("n") >= F.col("pages") * F.when(F.col("place") == "top", TOP).otherwise(BOTTOM)).select(*FILE, "line")
+    rows = rows.withColumn("letters", F.lower(F.regexp_replace("line", r"\P{L}", ""))).filter("length(letters) >= 5").withColumn("code", F.xxhash64("letters"))
+    # first only codes of lines are counted; mostly none recurs, and nothing more is read
+    group = [*FILE, "code", "place"]
+    recurring = cut(rows.select(*group, "page").distinct().groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") >= PAGES))
+    if recurring.isEmpty():
+        return readings.sparkSession.createDataFrame([], SCHEMA)
+    pages = join_small(readings.select(*FILE, "page"), recurring.select(*FILE).distinct(), list(FILE), "left_semi").distinct().groupBy(*FILE).agg(F.count("page").alias("pages"))
+    often = recurring.join(pages, list(FILE)).filter(F.col("n") >= F.col("pages") * F.when(F.col("place") == "top", TOP).otherwise(BOTTOM)).select(*group)
+    kept = join_small(rows.select(*group, "line"), cut(often), group, "left_semi").groupBy(*group).agg(F.min("line").alias("line")).select(*FILE, "line")
 
     def unknown(batches):
         for batch in batches:
             codes = [[skeleton(x)] if not is_title([x], 0) else [] for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.list_(pa.string()))], [*FILE, "titles"])
 
-    return kept.mapInArrow(unknown, "opis_code string, delo string, titles array<string>").filter("size(titles) > 0").groupBy(*FILE).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("titles")))).alias("titles"))
+    return kept.mapInArrow(unknown, SCHEMA).filter("size(titles) > 0").groupBy(*FILE).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("titles")))).alias("titles"))
 
 
 def with_titles(readings: DataFrame, columns: list[str]) -> DataFrame:
