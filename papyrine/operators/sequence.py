@@ -46,7 +46,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
 def latest(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """One row for each key: the first by ``order`` (give ties an order too)."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return df.withColumn("__row_number", F.row_number().over(w)).filter("__row_number = 1").drop("__row_number")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -82,6 +82,10 @@ def numbered_lines(text: Column) -> Column:
     return F.when((F.size(kept) > 0) & (numbers == F.sequence(F.lit(1), F.greatest(F.size(kept), F.lit(1)))), values)
 
 
+#: The column by which keyed tables are divided into folders.
+PART = "papyrine_part"
+
+
 class KeyedTable:
     """A Parquet table with one row for each key, the last by ``order``, in hashed parts, each in a folder of versions.
 
@@ -113,8 +117,8 @@ class KeyedTable:
         for _, folder in self._versions():
             for status in self._fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(folder)):
                 name = status.getPath().getName()
-                if name.startswith("part_no="):
-                    where.setdefault(int(name[8:]), f"{folder}/{name}")
+                if name.startswith(f"{PART}="):
+                    where.setdefault(int(name[len(PART) + 1 :]), f"{folder}/{name}")
         return where
 
     def read(self) -> DataFrame | None:
@@ -123,19 +127,21 @@ class KeyedTable:
         return self.spark.read.parquet(*where.values()) if where else None
 
     def upsert(self, new: DataFrame) -> DataFrame:
+        if PART in new.columns:
+            raise ValueError(f"a keyed table has no column {PART}")
         number = F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
-        fresh = cut(new.withColumn("part_no", number))
-        touched = {r[0] for r in fresh.select("part_no").distinct().collect()}  # at most ``parts``
+        fresh = cut(new.withColumn(PART, number))
+        touched = {r[0] for r in fresh.select(PART).distinct().collect()}  # at most ``parts``
         where = self._where()
         old = [p for k, p in where.items() if k in touched]
         merged = fresh
         if old:
-            merged = fresh.unionByName(self.spark.read.parquet(*old).withColumn("part_no", number))
+            merged = fresh.unionByName(self.spark.read.parquet(*old).withColumn(PART, number))
         if touched:
             versions = self._versions()
             version = f"{self.path}/v{(versions[0][0] if versions else 0) + 1:010d}"
             last = latest(merged, self.keys, F.col(self.order).desc_nulls_last())
-            last.repartition("part_no").write.mode("overwrite").partitionBy("part_no").parquet(version)
+            last.repartition(PART).write.mode("overwrite").partitionBy(PART).parquet(version)
             self._remove_old()
         return self.read() if where or touched else new.limit(0)
 

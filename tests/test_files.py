@@ -63,6 +63,17 @@ def test_late_older_rows_do_not_win(spark, tmp_path, rows):
     assert rows(table.upsert(_make(spark, []))) == [(1, "new", 5), (2, "b", 1), (None, "m", 2)]
 
 
+def test_keyed_table_keeps_other_columns(spark, tmp_path, rows):
+    """Columns named like helpers stay; the one name that is taken is refused."""
+    import pytest
+
+    df = spark.createDataFrame([(1, "a", 1, 7)], "k int, _rn string, at int, part_no int")
+    table = files.KeyedTable(spark, str(tmp_path / "t"), ["k"], "at")
+    assert sorted(table.upsert(df).columns) == ["_rn", "at", "k", "part_no"]
+    with pytest.raises(ValueError):
+        table.upsert(df.withColumnRenamed("part_no", files.PART))
+
+
 def test_a_run_that_dies_leaves_the_table(spark, tmp_path, rows):
     import os
     import shutil
@@ -75,7 +86,7 @@ def test_a_run_that_dies_leaves_the_table(spark, tmp_path, rows):
     newest = sorted(n for n in os.listdir(path) if n.startswith("v"))[-1]
     # a version whose writing did not end: no mark of success, parts missing
     os.remove(f"{path}/{newest}/_SUCCESS")
-    shutil.rmtree(next(f"{path}/{newest}/{n}" for n in os.listdir(f"{path}/{newest}") if n.startswith("part_no")))
+    shutil.rmtree(next(f"{path}/{newest}/{n}" for n in os.listdir(f"{path}/{newest}") if n.startswith(files.PART)))
     assert rows(table.read()) == before
     assert rows(table.upsert(_make(spark, [(k, "b", 2) for k in range(8)]))) == [(k, "b", 2) for k in range(8)]
 
@@ -88,7 +99,7 @@ def test_only_touched_parts_are_written(spark, tmp_path):
     for at in range(5):
         table.upsert(_make(spark, [(k, "a", at) for k in (range(50) if at == 0 else [7])]))
     versions = sorted(n for n in os.listdir(path) if n.startswith("v"))
-    parts = lambda v: sum(n.startswith("part_no") for n in os.listdir(f"{path}/{v}"))
+    parts = lambda v: sum(n.startswith(files.PART) for n in os.listdir(f"{path}/{v}"))
     assert parts(versions[0]) > 8 and parts(versions[-1]) == 1 and len(versions) == 3 and table.read().count() == 50
 
 
