@@ -65,5 +65,6 @@ def with_titles(readings: DataFrame, columns: list[str]) -> DataFrame:
     Frames without the columns of a file have none. The titles are shared with all tasks below a size check only."""
     if not set(FILE) <= set(readings.columns):
         return readings.select(*columns, F.lit(None).cast("array<string>").alias("titles"))
+    readings = readings.withColumns({c: F.col(c).cast("string") for c in FILE})
     found = cut(running_titles(readings))
     return join_small(readings.select(*FILE, *columns), found, list(FILE)).select(*columns, "titles")

@@ -191,3 +191,11 @@ def test_confusions_that_the_corpus_shows(spark):
     frame = spark.createDataFrame(counts, "word string, n bigint")
     fixes = {r.wrong: r.right for r in scan_noise.corrections(frame).collect()}
     assert fixes == {w.replace("ж", "х"): w for w in words[:6]}
+
+
+def test_files_of_other_types_and_extra_columns(spark):
+    """Inventory and file may be numbers; columns named like those of the operators do no harm."""
+    data = [(i, 1, 7, "m", f"{i + 1:03}", f"Дневник опытов {i + 1}\nМедный рычаг держит груз.\nДа.", ["x"], "y", 3) for i in range(6)]
+    df = spark.createDataFrame(data, "reading_id int, opis_code int, delo int, model string, page string, text string, titles array<string>, words string, n int")
+    assert scan_noise.noisy_lines(df).filter("kind = 'header'").count() == 6
+    assert scan_noise.repaired(df).count() == 6 and repetition.repeating(df).count() == 0 and truncation.truncated(df).count() == 0
