@@ -1,6 +1,7 @@
 """Reports on readings over small frames whose figures are known."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,29 @@ def test_titles_and_validation(spark):
     assert [(r.same_edition, r.n) for r in reports.validation_figures(reports.against_published(matches, ours, theirs)).collect()] == [(True, 1)]
 
 
+def test_titles_are_searched_once_each(spark, monkeypatch):
+    """Titles that recur are joined or searched once, not for each row; matches are those of every title with every file."""
+    rng = random.Random(7)
+    titles = sorted({f"{rng.choice(WORDS)} {rng.choice(WORDS)}" for _ in range(40)})
+    bent = lambda t: t.replace("а", "о", 1) if rng.random() < 0.3 else t
+    files = [(i, bent(rng.choice(titles))) for i in rng.sample(range(1000), 300)] + [(None, titles[0]), (1000, ""), (1001, None)]
+    published = [(i, bent(rng.choice(titles))) for i in range(400)] + [(None, titles[0]), (400, ""), (401, None), (402, "щщщ")]
+    searched = []
+    whole = reports.similarity.best_in_blocks
+    monkeypatch.setattr(reports.similarity, "best_in_blocks", lambda q, r, *a, **k: searched.append((q.count(), r.count())) or whole(q, r, *a, **k))
+    kind = "id bigint, title string"
+    got = {r.published: (r.file, r.title_match) for r in reports.title_matches(spark.createDataFrame(published, kind), spark.createDataFrame(files, kind)).collect()}
+    held = sorted((i, t) for i, t in files if i is not None and t)
+    want = {}
+    for i, t in published:
+        if i is not None and t:
+            ratio, file = max(((SequenceMatcher(None, t, u, False).ratio(), -k) for k, u in held))
+            want |= {i: (-file, round(ratio, 2))} if ratio >= reports.LEAST_TITLE else {}
+    assert got == want and {m < 1 for _, m in got.values()} == {True, False}
+    distinct = {t for _, t in held}
+    assert set(searched) == {(len({t for _, t in published if t} - distinct), len(distinct))}
+
+
 def test_score_collation_and_rendering(spark):
     df = spark.createDataFrame([("Домъ, снѣгъ [?] и лес", "дом снег и поле"), ("", "а")], "a string, b string")
     got = df.select(*(c.alias(k) for k, c in reports.score(F.col("a"), F.col("b"), fold=True).items())).collect()
