@@ -34,3 +34,16 @@ def test_file_documents_are_whole_and_headed(spark):
     assert body == "## Лист 001\n\nпервый\n\n---\n\n## Лист 002\n\n[не получено]\n\n---\n\n## Лист 003\n\n[пустой лист]"
     assert bare.document.startswith("# Опись 3, дело 8\n") and bare.document.endswith("## Лист 001\n\nбез карточки")
     assert corpus.file_documents(r.limit(0), k).count() == 0
+
+
+def test_every_published_title_is_searched(spark, tmp_path):
+    day = dt.datetime(2025, 1, 1)
+    save = lambda name, rows, kind: spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    ids = [19, 20, 21, 33]
+    save("title_en", [(i, f'Письмо "шар номер {i}"') for i in ids], "portal_id int, title_ru string")
+    save("catalog", [(i, f'Письмо "шар номер {i}" Вид материала: письмо', 1, "ok", day) for i in ids], "portal_id int, name string, pages int, status string, fetched_at timestamp")
+    text = "шар поднимается над полем и летит далеко за реку"
+    save("documents", [(i, i, text) for i in ids], "doc_id bigint, portal_id int, text string")
+    got = {r.published: (r.file, r.title_match) for r in core.queries()["best_titles"](spark, str(tmp_path)).collect()}
+    assert got == {i: (i, 1.0) for i in ids}
+    assert [tuple(r) for r in core.queries()["corpus_validation"](spark, str(tmp_path)).collect()] == [(True, 4, 1.0, 1.0)]
