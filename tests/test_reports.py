@@ -104,6 +104,18 @@ def test_titles_are_searched_once_each(spark, monkeypatch):
     assert set(searched) == {(len({t for _, t in published if t} - distinct), len(distinct))}
 
 
+def test_published_texts_are_paired_before_they_are_worked_on(spark):
+    """Python gets texts, not arrays of words, and only those of pairs."""
+    matches = spark.createDataFrame([(1, 8, 1.0), (2, 8, 0.8), (3, 9, 0.9), (4, 8, 0.8), (5, 7, 0.8)], "published bigint, file bigint, title_match double")
+    ours = spark.createDataFrame([(8, "Снѣгъ идётъ  давно, и лес молчит"), (9, "нет пары"), (7, "**поле**")], "id bigint, text string")
+    theirs = spark.createDataFrame([(1, "снег идет давно и лес молчит"), (2, "# заглавие\n[?]"), (4, "лес молчит и снег идет давно а потом перестает"), (5, "слово"), (6, "без пары")], "id bigint, text string")
+    scored = reports.against_published(matches, ours, theirs)
+    got = sorted(tuple(r) for r in scored.collect())
+    assert got == [(1, 8, 1.0, 6, 6, 1.0, 0.667, 1.0), (2, 8, 0.8, 6, 0, 0.0, 0.0, 0.0), (4, 8, 0.8, 6, 9, 0.667, 0.333, 0.5), (5, 7, 0.8, 0, 1, 0.0, 0.0, 0.0)]
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.rindex("ArrowEvalPython") < plan.index("Join ")
+
+
 def test_score_collation_and_rendering(spark):
     df = spark.createDataFrame([("Домъ, снѣгъ [?] и лес", "дом снег и поле"), ("", "а")], "a string, b string")
     got = df.select(*(c.alias(k) for k, c in reports.score(F.col("a"), F.col("b"), fold=True).items())).collect()
